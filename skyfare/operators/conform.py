@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -96,6 +96,11 @@ def clean_trips(df: DataFrame, taxi_type: str | Column) -> DataFrame:
     return conform_trips(df, taxi_type).transform(clean_conformed)
 
 
+def conform_feeds(feeds: Mapping[str, DataFrame]) -> DataFrame:
+    """Raw feeds by taxi type as one conformed table."""
+    return union_feeds([conform_trips(df, taxi_type) for taxi_type, df in feeds.items()])
+
+
 def union_feeds(frames: Sequence[DataFrame]) -> DataFrame:
     """All feeds as one table; a column that a feed lacks is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

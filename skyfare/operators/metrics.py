@@ -53,8 +53,13 @@ def _as_map(key: Column, count: Column) -> Column:
 
 
 def daily_readings(trips: DataFrame) -> DataFrame:
-    """Mean temperature and total rain over the day's hours that have a trip."""
-    hours = keep_one(trips.select(DAY, HOUR, "temperature_2m", "precipitation"), [DAY, HOUR])
+    """Mean temperature and total rain over the day's hours that have a trip.
+
+    ``distinct`` hashes the trips down to about one row per hour first, so only
+    those few are sorted to pick one reading per hour.
+    """
+    seen = trips.select(DAY, HOUR, "temperature_2m", "precipitation").distinct()
+    hours = keep_one(seen, [DAY, HOUR])
     return hours.groupBy(DAY).agg(
         F.avg("temperature_2m").alias("avg_temp"),
         F.sum(F.coalesce("precipitation", F.lit(0.0))).alias("total_precip"),
@@ -67,8 +72,8 @@ def daily_metrics(enriched: DataFrame) -> DataFrame:
     The trips are rolled up once to (day, hour, payment type, reading), a few
     rows per hour, with partial aggregation before the only shuffle that grows
     with the data. Weather is a grouping key there because it belongs to the
-    hour: it adds no groups, and the roll-up stays a hash aggregate. All else
-    works on those few rows.
+    hour: it adds no groups, and the roll-up stays a hash aggregate. The few
+    rows of a day then move together once, and all else happens in place.
     """
     has_payment = "payment_type" in enriched.columns
     payment = F.col("payment_type") if has_payment else F.lit(None).cast("int")
@@ -87,6 +92,10 @@ def daily_metrics(enriched: DataFrame) -> DataFrame:
         F.min(F.struct("temperature_2m", "precipitation")).alias("reading"), *add_up
     )
 
+    # From here a day has at most one row per hour and payment type, so even
+    # the busiest day fits one task and needs no further shuffle.
+    typed = typed.repartition(DAY)
+
     # exactly one row of each hour carries the hour's reading
     in_hour = Window.partitionBy(DAY, HOUR).orderBy("reading", "key")
     carries = F.row_number().over(in_hour) == 1

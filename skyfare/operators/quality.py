@@ -49,11 +49,16 @@ def _three_decimals(rate: Column) -> Column:
     ``format_string`` rounds the printed digits instead: it shows the double
     0.8085, which is just below that number, as 0.809.
     """
-    exact = (rate * F.lit(2.0**60)).cast("bigint").cast("decimal(20,0)")
-    thousandths = F.call_function("div", exact * 1000 + F.lit(2**59), F.lit(2**60))
-    return F.format_string(
-        "%d.%03d", F.call_function("div", thousandths, F.lit(1000)), thousandths % 1000
-    )
+
+    def div(a: Column, b: int) -> Column:
+        return F.call_function("div", a, F.lit(b))
+
+    unit = 2**60
+    scaled = (rate * F.lit(float(unit))).cast("bigint").cast("decimal(20,0)") * 1000
+    # adding half a unit rounds up; an exact half goes to the even neighbour
+    even_half = F.lit(unit // 2 - 1) + div(scaled, unit) % 2
+    thousandths = div(scaled + even_half, unit)
+    return F.format_string("%d.%03d", div(thousandths, 1000), thousandths % 1000)
 
 
 @dataclass(frozen=True)

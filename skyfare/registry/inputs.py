@@ -75,7 +75,7 @@ def shipped_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("dropoff_datetime"),
         F.col("c_nationkey").alias("pu_location_id"),
         F.col("s_nationkey").alias("do_location_id"),
-        F.col("l_linenumber").alias("passenger_count"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_linenumber")).alias("passenger_count"),
         F.col("l_quantity").alias("trip_distance"),
         F.col("c_acctbal").alias("fare_amount"),
         F.col("l_extendedprice").alias("total_amount"),
@@ -115,7 +115,7 @@ def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("ts + make_dt_interval(0, 0, k - 10)").alias("dropoff_datetime"),
         F.col("k").alias("pu_location_id"),
         (F.lit(99) - F.col("k")).alias("do_location_id"),
-        F.col("k").alias("passenger_count"),
+        F.when(kind != "purchase", F.col("k")).alias("passenger_count"),
         (F.col("k") / F.lit(4.0)).alias("trip_distance"),
         (F.col("value") * F.lit(0.8) - F.lit(1.0)).alias("fare_amount"),
         F.col("value").alias("total_amount"),

@@ -8,7 +8,7 @@ SHIPPED = """
 shipped AS (
   SELECT l_suppkey AS vendor_id, o_orderdate AS pickup_datetime, l_shipdate AS dropoff_datetime,
          c_nationkey AS pu_location_id, s_nationkey AS do_location_id,
-         l_linenumber AS passenger_count, l_quantity AS trip_distance, c_acctbal AS fare_amount,
+         CASE WHEN l_returnflag <> 'R' THEN l_linenumber END AS passenger_count, l_quantity AS trip_distance, c_acctbal AS fare_amount,
          l_extendedprice AS total_amount,
          CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN left(o_orderpriority, 1) END AS payment_type,
          CASE l_returnflag WHEN 'A' THEN 'yellow' WHEN 'R' THEN 'green' ELSE 'hired' END AS taxi_type
@@ -23,8 +23,7 @@ conformed AS (
   SELECT CAST(vendor_id AS INTEGER) AS vendor_id, pickup_datetime, dropoff_datetime,
          CAST(pu_location_id AS INTEGER) AS pu_location_id,
          CAST(do_location_id AS INTEGER) AS do_location_id,
-         CASE WHEN taxi_type <> 'green' THEN CAST(passenger_count AS DOUBLE) END AS passenger_count,
-         trip_distance, fare_amount, total_amount,
+         CAST(passenger_count AS DOUBLE) AS passenger_count, trip_distance, fare_amount, total_amount,
          CAST(payment_type AS INTEGER) AS payment_type, taxi_type
   FROM shipped
 )"""
@@ -205,9 +204,6 @@ def _trip_rules() -> list[str]:
     ]
 
 
-FEED_COLUMNS = """vendor_id, pu_location_id,
-       CASE WHEN taxi_type <> 'green' THEN passenger_count END AS passenger_count"""
-
 _ENRICHED_TRIP = f"""{TRIP_COLUMNS}, {CALENDAR}, temperature_2m, precipitation, windspeed_10m"""
 
 _TYPED_READINGS = """CAST(date + to_hours(hour) AS VARCHAR) AS timestamp, temperature_2m, precipitation,
@@ -220,14 +216,14 @@ _MISSING = "CASE WHEN TRUE THEN '{}: missing table' END"
 ORACLE: dict[str, str] = {
     "conform_columns": f"""WITH {SHIPPED}
 SELECT taxi_type, CAST(vendor_id AS INTEGER) AS vendor_id, pu_location_id,
-       CASE WHEN taxi_type <> 'green' THEN passenger_count END AS passenger_count FROM shipped""",
+       passenger_count FROM shipped""",
     "conform_trips": f"WITH {CONFORMED_SHIPPED} SELECT {TRIP_COLUMNS} FROM conformed",
     "union_trip_types": f"""WITH {SHIPPED}
 SELECT taxi_type, trip_distance, fare_amount, total_amount, payment_type,
        CASE WHEN taxi_type <> 'hired' THEN vendor_id END AS "VendorID",
        CASE WHEN taxi_type <> 'hired' THEN pu_location_id END AS "PULocationID",
        CASE WHEN taxi_type <> 'hired' THEN do_location_id END AS "DOLocationID",
-       CASE WHEN taxi_type <> 'green' THEN passenger_count END AS passenger_count,
+       passenger_count,
        CASE WHEN taxi_type = 'yellow' THEN CAST(pickup_datetime AS VARCHAR) END AS tpep_pickup_datetime,
        CASE WHEN taxi_type = 'yellow' THEN CAST(dropoff_datetime AS VARCHAR) END AS tpep_dropoff_datetime,
        CASE WHEN taxi_type = 'green' THEN CAST(pickup_datetime AS VARCHAR) END AS lpep_pickup_datetime,

@@ -70,8 +70,9 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.enrich_trips(inputs.hourly_trips(spark, sf_dir), inputs.hourly_readings(spark, sf_dir))
 
 
-def _conformed(feeds: dict[str, DataFrame]) -> DataFrame:
-    return conform.union_feeds([conform.conform_trips(df, name) for name, df in feeds.items()])
+def _conformed_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rides = inputs.delivered_twice(inputs.rides(spark, sf_dir))
+    return conform.conform_trips(rides, F.col("taxi_type"))
 
 
 # --- projections and scalar expressions
@@ -96,7 +97,7 @@ def conform_columns(spark, sf_dir):
 
 @query
 def conform_trips(spark, sf_dir):
-    return _conformed(inputs.shipped_feeds(spark, sf_dir))
+    return conform.conform_feeds(inputs.shipped_feeds(spark, sf_dir))
 
 
 @query
@@ -189,12 +190,13 @@ def guarded_ratio(spark, sf_dir):
 
 @query
 def filter_valid_times(spark, sf_dir):
-    return conform.with_valid_times(_conformed(inputs.ride_feeds(spark, sf_dir)))
+    return conform.with_valid_times(_conformed_rides(spark, sf_dir))
 
 
 @query
 def filter_non_negative(spark, sf_dir):
-    return conform.with_valid_measures(_conformed(inputs.shipped_feeds(spark, sf_dir)))
+    trips = conform.conform_trips(inputs.shipped_trips(spark, sf_dir), F.col("taxi_type"))
+    return conform.with_valid_measures(trips)
 
 
 @query
@@ -213,9 +215,8 @@ def dedupe_hours(spark, sf_dir):
 
 @query
 def clean_trips(spark, sf_dir):
-    return conform.union_feeds(
-        [conform.clean_trips(feed, name) for name, feed in inputs.shipped_feeds(spark, sf_dir).items()]
-    )
+    """Three feeds with different names, cleaned with one shuffle for all of them."""
+    return conform.clean_conformed(conform.conform_feeds(inputs.shipped_feeds(spark, sf_dir)))
 
 
 # --- join and aggregates
@@ -303,7 +304,7 @@ def uniqueness_ratio(spark, sf_dir):
 
 
 def _clean_rides(spark, sf_dir):
-    return conform.clean_conformed(_conformed(inputs.ride_feeds(spark, sf_dir)))
+    return conform.clean_conformed(_conformed_rides(spark, sf_dir))
 
 
 @query
@@ -369,7 +370,7 @@ def plan_gaps(spark, sf_dir):
 @query
 def plan_manifest(spark, sf_dir):
     months = plans.plan_months(_order_window(spark, sf_dir))
-    return plans.plan_manifest(months, "yellow", "landing", "bronze/tlc")
+    return plans.plan_manifest(months, "yellow", f"landing/{plans.FILE_NAME}", "bronze/tlc")
 
 
 @query

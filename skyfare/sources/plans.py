@@ -70,15 +70,21 @@ def plan_gaps(window: DataFrame, landed: DataFrame | None, today: str) -> DataFr
     return days if landed is None else days.join(landed.select("date"), "date", "left_anti")
 
 
-def plan_manifest(months: DataFrame, taxi_type: str, source: str, destination: str) -> DataFrame:
-    """Where each planned month comes from and where it goes, zero-padded."""
-    tag = F.lit(taxi_type)
-    name = F.format_string(FILE_NAME, tag, "year", "month")
-    folder = F.format_string(DIRECTORY, tag, "year", "month")
+def plan_manifest(
+    months: DataFrame, taxi_type: str, source_pattern: str, destination: str
+) -> DataFrame:
+    """Where each planned month comes from and where it goes, zero-padded.
+
+    ``source_pattern`` is a printf pattern over taxi type, year and month.
+    """
+    unit = (F.lit(taxi_type), F.col("year"), F.col("month"))
+    target = F.concat_ws(
+        "/", F.lit(destination), F.format_string(DIRECTORY, *unit), F.format_string(FILE_NAME, *unit)
+    )
     return months.select(
-        tag.alias("taxi_type"),
+        F.lit(taxi_type).alias("taxi_type"),
         "year",
         "month",
-        F.concat_ws("/", F.lit(source), name).alias("source"),
-        F.concat_ws("/", F.lit(destination), folder, name).alias("destination"),
+        F.format_string(source_pattern, *unit).alias("source"),
+        target.alias("destination"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Literal
 
 from pyspark.errors import AnalysisException
@@ -16,6 +17,9 @@ from skyfare.sources.files import list_files
 # Partition columns of the landed monthly trip files.
 UNIT_COLUMNS = ("taxi_type", "year", "month")
 
+# How many months have their file footer read at the same time.
+FOOTER_READERS = 16
+
 
 def scan_raw_trips(
     spark: SparkSession,
@@ -56,10 +60,12 @@ def scan_units(spark: SparkSession, root: str, files: DataFrame) -> list[DataFra
     footer for each: metadata, bounded by the length of the calendar.
     """
     directory = F.regexp_replace("path", "/[^/]*$", "").alias("directory")
+    directories = [r.directory for r in files.select(directory).distinct().orderBy("directory").collect()]
+    with ThreadPoolExecutor(FOOTER_READERS) as pool:
+        schemas = list(pool.map(lambda path: spark.read.parquet(path).schema, directories))
     by_schema: dict[str, tuple[T.StructType, list[str]]] = {}
-    for row in files.select(directory).distinct().orderBy("directory").toLocalIterator():
-        schema = spark.read.parquet(row.directory).schema
-        by_schema.setdefault(schema.json(), (schema, []))[1].append(row.directory)
+    for path, schema in zip(directories, schemas):
+        by_schema.setdefault(schema.json(), (schema, []))[1].append(path)
     units = T.StructType([T.StructField(name, T.StringType()) for name in UNIT_COLUMNS])
     return [
         spark.read.schema(T.StructType([*schema, *units])).option("basePath", root).parquet(*paths)
