@@ -20,7 +20,9 @@ from skyfare.operators.enrich import broadcast_fits, enrich_trips
 from skyfare.operators.metrics import daily_metrics
 from skyfare.operators.quality import quality_report, require_quality
 from skyfare.operators.readings import flatten_readings, normalize_readings
+from skyfare.sources.files import table_bytes
 from skyfare.sources.landing import land_missing_months, land_new_days
+from skyfare.sources.settings import sized_shuffles
 from skyfare.sources.tables import (
     scan_if_exists,
     scan_layer,
@@ -98,7 +100,8 @@ def build_trips(
         if absent:
             raise ValueError(f"raw trips under {source} lack {absent}, columns are {frame.columns}")
     conformed = union_feeds([conform_trips(frame, F.col("taxi_type")) for frame in frames])
-    return write_layer(clean_conformed(conformed), target, schemas.TRIPS_PARTITIONS, replace)
+    with sized_shuffles(spark, table_bytes(spark, source)):
+        return write_layer(clean_conformed(conformed), target, schemas.TRIPS_PARTITIONS, replace)
 
 
 def build_readings(
@@ -124,7 +127,10 @@ def build_enriched(
     reading_table = scan_layer(spark, readings, schemas.READINGS)
     unmoved = broadcast_fits(reading_table)
     enriched = enrich_trips(trip_table, reading_table, broadcast_readings=unmoved)
-    return write_layer(enriched, target, schemas.ENRICHED_PARTITIONS, replace, cluster=not unmoved)
+    with sized_shuffles(spark, table_bytes(spark, trips)):
+        return write_layer(
+            enriched, target, schemas.ENRICHED_PARTITIONS, replace, cluster=not unmoved
+        )
 
 
 def build_daily(spark: SparkSession, enriched: str, target: str, replace: Replace = "table") -> str:
@@ -134,17 +140,27 @@ def build_daily(spark: SparkSession, enriched: str, target: str, replace: Replac
 
 
 def check_layers(spark: SparkSession, layout: Layout) -> DataFrame:
-    """The standard quality report on the tables as they are stored."""
+    """The standard quality report on the tables as they are stored.
+
+    The tables are read by the schema of their files: a declared schema would
+    show a column that is missing there as NULLs.
+    """
     return quality_report(
         spark,
         {
-            "silver.trips": scan_if_exists(spark, layout.trips, schemas.TRIPS),
-            "silver.enriched_trips": scan_if_exists(spark, layout.enriched, schemas.ENRICHED),
-            "gold.daily_metrics": scan_if_exists(spark, layout.daily, schemas.DAILY),
+            "silver.trips": scan_if_exists(spark, layout.trips),
+            "silver.enriched_trips": scan_if_exists(spark, layout.enriched),
+            "gold.daily_metrics": scan_if_exists(spark, layout.daily),
         },
     )
 
 
+def require_layers(spark: SparkSession, layout: Layout) -> None:
+    """The quality gate on the stored tables; the uniqueness rule shuffles every trip's key."""
+    with sized_shuffles(spark, table_bytes(spark, layout.trips)):
+        require_quality(check_layers(spark, layout))
+
+
 def run_pipeline(
     spark: SparkSession,
     layout: Layout,
@@ -192,7 +208,7 @@ def run_pipeline(
             spark, layout.trips, layout.readings, layout.enriched
         ),
         "gold_daily_metrics": lambda: build_daily(spark, layout.enriched, layout.daily),
-        "quality": lambda: require_quality(check_layers(spark, layout)),
+        "quality": lambda: require_layers(spark, layout),
     }
     executed = [step for step in STEPS if step not in skip_steps]
     for step in executed:

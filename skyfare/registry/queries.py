@@ -309,15 +309,10 @@ def _clean_rides(spark, sf_dir):
 
 @query
 def quality_report(spark, sf_dir):
-    """The standard rules on tables that have not been written yet."""
-    trips = _clean_rides(spark, sf_dir)
-    enriched = enrich.enrich_trips(trips, inputs.hourly_readings(spark, sf_dir))
-    found = {
-        "silver.trips": trips,
-        "silver.enriched_trips": enriched,
-        "gold.daily_metrics": metrics.daily_metrics(enriched),
-    }
-    return _rounded(quality.quality_report(spark, found), "observed").drop("message")
+    """The standard rules on the stored tables of all rides."""
+    layout = _build_enriched(spark, sf_dir, "quality")
+    jobs.build_daily(spark, layout.enriched, layout.daily)
+    return _rounded(jobs.check_layers(spark, layout), "observed").drop("message")
 
 
 @query

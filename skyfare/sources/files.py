@@ -6,15 +6,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyfare.sources.settings import setting
+
 # The columns a binaryFile scan has besides the partition columns.
 _FILE_COLUMNS = ("path", "modificationTime", "length", "content")
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame | None:
-    """``path``, ``length`` and one text column per partition level of ``root``.
+def list_partitions(spark: SparkSession, root: str) -> DataFrame | None:
+    """One row per partition directory: ``directory``, ``files``, ``bytes`` and its values.
 
     None if the path does not exist. The values are the directory names as
-    written, so a month ``01`` keeps its zero.
+    written, so a month ``01`` keeps its zero. The listing is taken at once and
+    held as a small table: its length is that of the calendar, not of the data.
     """
     try:
         files = spark.read.format("binaryFile").load(root)
@@ -23,31 +26,45 @@ def list_files(spark: SparkSession, root: str) -> DataFrame | None:
             return None
         raise
     levels = [name for name in files.columns if name not in _FILE_COLUMNS]
-    return files.select(
-        "path",
-        "length",
-        *[F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name) for name in levels],
+    per_directory = (
+        files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("directory"))
+        .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+        .select(
+            "*",
+            *[F.regexp_extract("directory", f"/{name}=([^/]*)(/|$)", 1).alias(name) for name in levels],
+        )
+        .orderBy("directory")
     )
+    # Contents are not read, so splits need not be small: without this a large
+    # table would be listed by as many tasks as it takes to scan it.
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "1t"):
+        return spark.createDataFrame(per_directory.collect(), per_directory.schema)
+
+
+def table_bytes(spark: SparkSession, root: str) -> int:
+    """Total size of a table's files; 0 if there are none."""
+    partitions = list_partitions(spark, root)
+    return 0 if partitions is None else partitions.agg(F.sum("bytes")).first()[0] or 0
 
 
 def partition_values(spark: SparkSession, root: str, column: str) -> DataFrame:
     """The sorted distinct values of one partition column; empty without a table."""
-    files = list_files(spark, root)
-    if files is None or column not in files.columns:
+    partitions = list_partitions(spark, root)
+    if partitions is None or column not in partitions.columns:
         return spark.createDataFrame([], f"{column} string")
-    return files.select(column).distinct().orderBy(column)
+    return partitions.select(column).distinct().orderBy(column)
 
 
 def partition_inventory(spark: SparkSession, root: str, limit: int = 20) -> DataFrame:
     """The first ``limit`` top-level partition names, with files and bytes of each."""
-    files = list_files(spark, root)
-    levels = [] if files is None else files.columns[2:]
+    partitions = list_partitions(spark, root)
+    levels = [] if partitions is None else partitions.columns[3:]
     if not levels:
         return spark.createDataFrame([], "partition string, files bigint, bytes bigint")
     name = F.concat(F.lit(f"{levels[0]}="), F.col(levels[0]))
     return (
-        files.groupBy(name.alias("partition"))
-        .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+        partitions.groupBy(name.alias("partition"))
+        .agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
         .orderBy("partition")
         .limit(limit)
     )

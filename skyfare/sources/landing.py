@@ -12,18 +12,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfare.sources.files import list_files
+from skyfare.sources.files import list_partitions
 from skyfare.sources.plans import bounds, plan_gaps, plan_incremental, plan_months
 from skyfare.sources.tables import UNIT_COLUMNS, scan_reading_documents, scan_units, write_layer
 
 
-def _landed_units(files: DataFrame | None) -> DataFrame | None:
-    """``taxi_type, year, month`` with at least one file that is not empty."""
-    if files is None or not set(UNIT_COLUMNS) <= set(files.columns):
+def _landed_units(partitions: DataFrame | None) -> DataFrame | None:
+    """``taxi_type, year, month`` whose files are not all empty."""
+    if partitions is None or not set(UNIT_COLUMNS) <= set(partitions.columns):
         return None
-    return files.filter("length > 0").select(
+    return partitions.filter("bytes > 0").select(
         "taxi_type", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")
-    ).distinct()
+    )
 
 
 def missing_months(
@@ -31,7 +31,7 @@ def missing_months(
 ) -> DataFrame:
     """The planned months of a feed that ``destination`` does not hold yet."""
     plan = plan_months(bounds(spark, start, end)).withColumn("taxi_type", F.lit(taxi_type))
-    landed = _landed_units(list_files(spark, destination))
+    landed = _landed_units(list_partitions(spark, destination))
     return plan if landed is None else plan.join(landed, list(UNIT_COLUMNS), "left_anti")
 
 
@@ -48,12 +48,12 @@ def land_missing_months(
     wanted = sorted((r.year, r.month) for r in missing.collect())
     if not wanted:
         return []
-    files = list_files(spark, landing)
-    if files is None:
+    partitions = list_partitions(spark, landing)
+    if partitions is None:
         raise FileNotFoundError(f"no trip files under {landing}")
     unit = F.struct(F.col("year").cast("int"), F.col("month").cast("int"))
     chosen = (F.col("taxi_type") == taxi_type) & _among(unit, wanted)
-    frames = scan_units(spark, landing, files.filter(chosen & (F.col("length") > 0)))
+    frames = scan_units(spark, landing, partitions.filter(chosen & (F.col("bytes") > 0)))
     _require_rows(frames, taxi_type, wanted)
     for frame in frames:
         write_layer(frame, destination, UNIT_COLUMNS, replace="partitions", cluster=False)
@@ -91,10 +91,10 @@ def tag_provenance(documents: DataFrame, endpoint: str | None = None) -> DataFra
 
 def landed_days(spark: SparkSession, destination: str) -> DataFrame | None:
     """The days ``destination`` holds, from its directory names."""
-    files = list_files(spark, destination)
-    if files is None or "date" not in files.columns:
+    partitions = list_partitions(spark, destination)
+    if partitions is None or "date" not in partitions.columns:
         return None
-    return files.filter("length > 0").select(F.col("date").cast("date").alias("date")).distinct()
+    return partitions.filter("bytes > 0").select(F.col("date").cast("date").alias("date"))
 
 
 def land_new_days(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyfare.schemas import READING_DOCUMENT
-from skyfare.sources.files import list_files
+from skyfare.sources.files import list_partitions
 
 # Partition columns of the landed monthly trip files.
 UNIT_COLUMNS = ("taxi_type", "year", "month")
@@ -36,31 +36,30 @@ def scan_raw_trips(
     scans, however many months there are. Each frame has ``taxi_type``,
     ``year`` and ``month`` columns. Raises FileNotFoundError if nothing is left.
     """
-    files = list_files(spark, root)
-    if files is None:
+    partitions = list_partitions(spark, root)
+    if partitions is None:
         raise FileNotFoundError(f"no trip files under {root}")
     month = F.concat_ws("-", F.lpad("year", 4, "0"), F.lpad("month", 2, "0"))
-    wanted = F.col("length") > 0
+    wanted = F.col("bytes") > 0
     if taxi_types is not None:
         wanted &= F.col("taxi_type").isin(list(taxi_types))
     if first_month is not None:
         wanted &= month >= first_month
     if last_month is not None:
         wanted &= month <= last_month
-    frames = scan_units(spark, root, files.filter(wanted))
+    frames = scan_units(spark, root, partitions.filter(wanted))
     if not frames:
         raise FileNotFoundError(f"no trip files for the wanted feeds and months under {root}")
     return frames
 
 
-def scan_units(spark: SparkSession, root: str, files: DataFrame) -> list[DataFrame]:
-    """One scan per distinct Parquet schema over the directories of ``files``.
+def scan_units(spark: SparkSession, root: str, partitions: DataFrame) -> list[DataFrame]:
+    """One scan per distinct Parquet schema over the directories of ``partitions``.
 
     What comes to the driver is one path per feed and month, and one file
     footer for each: metadata, bounded by the length of the calendar.
     """
-    directory = F.regexp_replace("path", "/[^/]*$", "").alias("directory")
-    directories = [r.directory for r in files.select(directory).distinct().orderBy("directory").collect()]
+    directories = [r.directory for r in partitions.orderBy("directory").collect()]
     with ThreadPoolExecutor(FOOTER_READERS) as pool:
         schemas = list(pool.map(lambda path: spark.read.parquet(path).schema, directories))
     by_schema: dict[str, tuple[T.StructType, list[str]]] = {}

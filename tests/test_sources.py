@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 from datetime import date
 
 import pytest
@@ -12,6 +13,7 @@ from skyfare.operators.inspect import sample_rows, table_profile
 from skyfare.schemas import LANDED_DOCUMENT
 from skyfare.sources import files, landing, plans, tables
 from skyfare.sources.scratch import scratch_path
+from skyfare.sources.settings import sized_shuffles
 from skyfare.streaming.readings import land_available
 
 
@@ -240,3 +242,31 @@ def test_scratch_is_under_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(f"{shared}/x-")
+
+
+def test_shuffles_grow_with_the_input(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    df = spark.range(100).selectExpr("id % 7 as k").groupBy("k").count()
+
+    def partitions():
+        text = df.select("k")._jdf.queryExecution().executedPlan().toString()
+        return int(re.search(r"hashpartitioning\(k#\d+L, (\d+)\)", text).group(1))
+
+    with sized_shuffles(spark, 10**6):
+        assert partitions() == 8
+    with sized_shuffles(spark, 10**12):
+        assert partitions() == 3726
+    with sized_shuffles(spark, 100 * 10**12):
+        assert partitions() == 50_000
+    assert spark.conf.get(name, None) is None
+
+
+def test_listing_does_not_open_files(spark, tmp_path):
+    folder = tmp_path / "a=01" / "b=x"
+    folder.mkdir(parents=True)
+    (folder / "one").write_text("12345")
+    (folder / "two").write_text("not a table at all")
+    (row,) = files.list_partitions(spark, str(tmp_path)).collect()
+    assert tuple(row)[1:] == (2, 23, "01", "x")
+    assert files.table_bytes(spark, str(tmp_path)) == 23
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "1t"
