@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 
 from skyfare.schemas import TRIP_KEY
 
+# The messages of failed rules.
+ZERO_ROWS = "{table}: row count is zero"
+MISSING_TABLE = "{table}: missing table"
+MISSING_COLUMN = "{table}: missing required column '{column}'"
+MISSING_KEYS = "{table}: missing uniqueness key columns {columns}"
+RATE_OF_NOTHING = "{table}: cannot evaluate null-rate on empty table"
+RATE_TOO_LOW = "{table}: column '{column}' non-null rate %s < {threshold:.3f}"
+VALUE_TOO_LOW = "{table}: column '{column}' min %s < {threshold}"
+VALUE_TOO_HIGH = "{table}: column '{column}' max %s > {threshold}"
+KEYS_OF_NOTHING = "{table}: cannot evaluate uniqueness on empty table"
+KEYS_REPEAT = "{table}: uniqueness ratio %s < {threshold:.3f} for {columns}"
+
 REPORT = (
     "rule bigint, table string, check string, observed double, threshold double, "
     "passed boolean, message string"
@@ -21,11 +33,12 @@ REPORT = (
 class Rule:
     """A rule on one table, as aggregates and a verdict over their values."""
 
-    check: str
+    check: str = ""
     columns: tuple[str, ...] = ()
     threshold: float = 0.0
 
     def aggregates(self) -> dict[str, Column]:
+        """What to measure; ``rows`` is measured for every table."""
         return {}
 
     def observed(self, value: Mapping[str, Column]) -> Column:
@@ -35,12 +48,18 @@ class Rule:
         """The failure message, NULL if the rule holds."""
         raise NotImplementedError
 
-    def missing(self, table: str, absent: Sequence[str]) -> str:
-        return f"{table}: missing required column '{absent[0]}'"
-
+    def absent(self, table: str, columns: Sequence[str]) -> str:
+        """The failure message for columns that the table does not have."""
+        return MISSING_COLUMN.format(table=table, column=columns[0])
 
-def _rows() -> Column:
-    return F.count(F.lit(1))
+    def text(self, message: str, table: str, shown: Column | None = None) -> Column:
+        filled = message.format(
+            table=table,
+            column=self.columns[0] if self.columns else "",
+            columns=list(self.columns),
+            threshold=self.threshold,
+        )
+        return F.lit(filled) if shown is None else F.format_string(filled, shown)
 
 
 def _three_decimals(rate: Column) -> Column:
@@ -65,14 +84,11 @@ def _three_decimals(rate: Column) -> Column:
 class NonEmpty(Rule):
     check: str = "row_count"
 
-    def aggregates(self):
-        return {"rows": _rows()}
-
     def observed(self, value):
-        return value["rows"].cast("double")
+        return value["rows"]
 
     def failure(self, table, value):
-        return F.when(value["rows"] == 0, F.lit(f"{table}: row count is zero"))
+        return F.when(value["rows"] == 0, self.text(ZERO_ROWS, table))
 
 
 @dataclass(frozen=True)
@@ -82,19 +98,16 @@ class NotNullRate(Rule):
     check: str = "not_null_rate"
 
     def aggregates(self):
-        return {"rows": _rows(), "filled": F.count(F.col(self.columns[0]))}
+        return {"filled": F.count(F.col(self.columns[0]))}
 
     def observed(self, value):
         return F.try_divide(value["filled"], value["rows"])
 
     def failure(self, table, value):
-        below = F.format_string(
-            f"{table}: column '{self.columns[0]}' non-null rate %s < {self.threshold:.3f}",
-            _three_decimals(self.observed(value)),
-        )
-        return F.when(
-            value["rows"] == 0, F.lit(f"{table}: cannot evaluate null-rate on empty table")
-        ).when(self.observed(value) < self.threshold, below)
+        rate = self.observed(value)
+        low = self.text(RATE_TOO_LOW, table, _three_decimals(rate))
+        nothing = self.text(RATE_OF_NOTHING, table)
+        return F.when(value["rows"] == 0, nothing).when(rate < self.threshold, low)
 
 
 @dataclass(frozen=True)
@@ -110,17 +123,14 @@ class AtLeast(Rule):
         return value["lowest"].cast("double")
 
     def failure(self, table, value):
-        text = F.concat(
-            F.lit(f"{table}: column '{self.columns[0]}' min "),
-            value["lowest"].cast("string"),
-            F.lit(f" < {self.threshold}"),
-        )
-        return F.when(self.observed(value) < self.threshold, text)
+        shown = value["lowest"].cast("string")
+        below = self.observed(value) < self.threshold
+        return F.when(below, self.text(VALUE_TOO_LOW, table, shown))
 
 
 @dataclass(frozen=True)
 class AtMost(Rule):
-    """No value above ``threshold``; a table without values passes."""
+    """No value above ``threshold``; NaN is not above, a table without values passes."""
 
     check: str = "max_value"
 
@@ -131,13 +141,9 @@ class AtMost(Rule):
         return value["highest"].cast("double")
 
     def failure(self, table, value):
-        text = F.concat(
-            F.lit(f"{table}: column '{self.columns[0]}' max "),
-            value["highest"].cast("string"),
-            F.lit(f" > {self.threshold}"),
-        )
-        over = (self.observed(value) > self.threshold) & ~F.isnan(self.observed(value))
-        return F.when(over, text)
+        shown = value["highest"].cast("string")
+        above = (self.observed(value) > self.threshold) & ~F.isnan(self.observed(value))
+        return F.when(above, self.text(VALUE_TOO_HIGH, table, shown))
 
 
 @dataclass(frozen=True)
@@ -150,22 +156,19 @@ class UniqueRatio(Rule):
     check: str = "unique_ratio"
 
     def aggregates(self):
-        return {"rows": _rows(), "keys": F.count_distinct(F.struct(*self.columns))}
+        return {"keys": F.count_distinct(F.struct(*self.columns))}
 
     def observed(self, value):
         return F.try_divide(value["keys"], value["rows"])
 
     def failure(self, table, value):
-        below = F.format_string(
-            f"{table}: uniqueness ratio %s < {self.threshold:.3f} for {list(self.columns)}",
-            _three_decimals(self.observed(value)),
-        )
-        return F.when(
-            value["rows"] == 0, F.lit(f"{table}: cannot evaluate uniqueness on empty table")
-        ).when(self.observed(value) < self.threshold, below)
+        ratio = self.observed(value)
+        low = self.text(KEYS_REPEAT, table, _three_decimals(ratio))
+        nothing = self.text(KEYS_OF_NOTHING, table)
+        return F.when(value["rows"] == 0, nothing).when(ratio < self.threshold, low)
 
-    def missing(self, table, absent):
-        return f"{table}: missing uniqueness key columns {list(absent)}"
+    def absent(self, table, columns):
+        return MISSING_KEYS.format(table=table, columns=list(columns))
 
 
 def value_range(column: str, low: float | None = None, high: float | None = None) -> list[Rule]:
@@ -198,21 +201,21 @@ STANDARD_RULES: dict[str, list[Rule]] = {
 
 def check_table(df: DataFrame, table: str, rules: Sequence[Rule], first: int = 1) -> DataFrame:
     """The report of one table: every rule answered by the same single aggregate."""
-    aggregates: dict[str, Column] = {"r0": _rows()}
-    rows: list[Column] = []
-    for i, rule in enumerate(rules):
+    measured: dict[str, Column] = {"rows": F.count(F.lit(1))}
+    report: list[Column] = []
+    for number, rule in enumerate(rules, start=first):
         absent = [name for name in rule.columns if name not in df.columns]
         if absent:
-            rows.append(_row(first + i, table, rule, F.lit(None), F.lit(rule.missing(table, absent))))
+            message = F.lit(rule.absent(table, absent))
+            report.append(_row(number, table, rule, F.lit(None), message))
             continue
-        value: dict[str, Column] = {}
+        value = {"rows": F.col("rows")}
         for name, aggregate in rule.aggregates().items():
-            key = "r0" if name == "rows" else f"r{i}_{name}"
-            aggregates.setdefault(key, aggregate)
-            value[name] = F.col(key)
-        rows.append(_row(first + i, table, rule, rule.observed(value), rule.failure(table, value)))
-    measured = df.agg(*[c.alias(name) for name, c in aggregates.items()])
-    return measured.select(F.inline(F.array(*rows)))
+            measured[f"{name}_{number}"] = aggregate
+            value[name] = F.col(f"{name}_{number}")
+        report.append(_row(number, table, rule, rule.observed(value), rule.failure(table, value)))
+    aggregated = df.agg(*[column.alias(name) for name, column in measured.items()])
+    return aggregated.select(F.inline(F.array(*report)))
 
 
 def _row(number: int, table: str, rule: Rule, observed: Column, failure: Column) -> Column:
@@ -239,7 +242,7 @@ def quality_report(
     for table, table_rules in rules.items():
         df = tables.get(table)
         if df is None:
-            gone = [(first, table, "exists", None, None, False, f"{table}: missing table")]
+            gone = [(first, table, "exists", None, None, False, MISSING_TABLE.format(table=table))]
             reports.append(spark.createDataFrame(gone, REPORT))
         else:
             reports.append(check_table(df, table, table_rules, first))

@@ -40,7 +40,7 @@ def raw(spark, *trips):
     return spark.createDataFrame([tuple(t.values()) for t in trips], RAW)
 
 
-def test_clean_trips_filters_and_deduplicates(spark):
+def test_copies_and_negative_fares_go(spark):
     df = raw(
         spark,
         raw_trip(),
