@@ -379,6 +379,10 @@ FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o
 SELECT taxi_type, strftime(pickup_datetime, '%Y') AS year, strftime(pickup_datetime, '%m') AS month,
        count(*) AS trips, round(sum(total_amount) + 1.37e-7, 2) AS amount, 0 AS landed_again
 FROM shipped WHERE taxi_type = 'yellow' GROUP BY ALL""",
+    "land_incremental_days": f"""WITH {READINGS}
+SELECT CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) AS fetched_for_date,
+       CAST(count(*) AS INTEGER) AS readings, CASE WHEN date <= DATE '2024-01-15' THEN 1 ELSE 2 END AS run
+FROM readings GROUP BY date""",
     "land_stream_rerun": f"WITH {DOCUMENTS} SELECT {_TYPED_READINGS} FROM flat",
     "tag_provenance": f"""WITH {READINGS}
 SELECT DISTINCT CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) AS fetched_for_date,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyfare.operators import conform
 from skyfare.operators.inspect import sample_rows, table_profile
 from skyfare.schemas import LANDED_DOCUMENT
-from skyfare.sources import files, landing, plans, tables
+from skyfare.sources import files, landing, plans, settings, tables
 from skyfare.sources.scratch import scratch_path
 from skyfare.sources.settings import sized_shuffles
 from skyfare.streaming.readings import land_available
@@ -157,16 +157,16 @@ def test_a_hot_day_is_split_over_tasks(spark, tmp_path):
     df = spark.range(0, 300_000, 1, 16).selectExpr(
         "id", "uuid() as payload", "date_add(date'2024-01-01', cast(if(id % 3 = 0, 0, id % 10) as int)) as date"
     )
-    settings = {
+    small = {
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "512k",
     }
-    for name, value in settings.items():
+    for name, value in small.items():
         spark.conf.set(name, value)
     try:
         tables.write_layer(df, path, ["date"])
     finally:
-        for name in settings:
+        for name in small:
             spark.conf.unset(name)
     files_of = {r.partition: r.files for r in files.partition_inventory(spark, path).collect()}
     assert files_of["date=2024-01-01"] > 3
@@ -245,7 +245,6 @@ def test_scratch_is_under_the_shared_folder(spark):
 
 
 def test_shuffles_grow_with_the_input(spark):
-    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     df = spark.range(100).selectExpr("id % 7 as k").groupBy("k").count()
 
     def partitions():
@@ -254,11 +253,14 @@ def test_shuffles_grow_with_the_input(spark):
 
     with sized_shuffles(spark, 10**6):
         assert partitions() == 8
+        assert spark.conf.get(settings.TARGET, None) is None
     with sized_shuffles(spark, 10**12):
         assert partitions() == 3726
+        assert spark.conf.get(settings.TARGET) == f"{512 * 2**20}b"
     with sized_shuffles(spark, 100 * 10**12):
         assert partitions() == 50_000
-    assert spark.conf.get(name, None) is None
+    assert spark.conf.get(settings.PARTITIONS, None) is None
+    assert spark.conf.get(settings.TARGET, None) is None
 
 
 def test_listing_does_not_open_files(spark, tmp_path):
