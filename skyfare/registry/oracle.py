@@ -405,9 +405,9 @@ FROM (VALUES (1, 'event_id', 'bigint'), (2, 'ts', 'timestamp_ntz'), (3, 'user_id
 JOIN (SELECT count(*) AS row_count FROM events) ON TRUE""",
     "table_sample": """SELECT event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, value, props,
        -value AS rank_value FROM events ORDER BY value DESC, event_id LIMIT 5""",
-    "pipeline_trips": f"WITH {CLEAN_RIDES} SELECT {TRIP_COLUMNS}, {CALENDAR} FROM clean",
-    "pipeline_readings": f"WITH {DOCUMENTS} SELECT {_TYPED_READINGS} FROM flat",
-    "pipeline_enriched": f"WITH {ENRICHED_RIDES} SELECT {_ENRICHED_TRIP} FROM enriched",
-    "pipeline_daily": _daily(ENRICHED_RIDES),
-    "pipeline_full": _daily(ENRICHED_RIDES, where="taxi_type = 'yellow'"),
+    "job_trips": f"WITH {CLEAN_RIDES} SELECT {TRIP_COLUMNS}, {CALENDAR} FROM clean",
+    "job_readings": f"WITH {DOCUMENTS} SELECT {_TYPED_READINGS} FROM flat",
+    "job_enriched": f"WITH {ENRICHED_RIDES} SELECT {_ENRICHED_TRIP} FROM enriched",
+    "job_daily": _daily(ENRICHED_RIDES),
+    "job_full": _daily(ENRICHED_RIDES, where="taxi_type = 'yellow'"),
 }

@@ -533,16 +533,16 @@ def _raw_layers(spark, sf_dir, label):
 
 
 @query
-def pipeline_trips(spark, sf_dir):
-    layout = jobs.Layout(scratch_path(spark, "pipeline-trips"))
+def job_trips(spark, sf_dir):
+    layout = jobs.Layout(scratch_path(spark, "job-trips"))
     inputs.write_ride_months(spark, sf_dir, layout.raw_trips)
     jobs.build_trips(spark, layout.raw_trips, layout.trips)
     return tables.scan_layer(spark, layout.trips, schemas.TRIPS)
 
 
 @query
-def pipeline_readings(spark, sf_dir):
-    layout = jobs.Layout(scratch_path(spark, "pipeline-readings"))
+def job_readings(spark, sf_dir):
+    layout = jobs.Layout(scratch_path(spark, "job-readings"))
     inputs.write_documents(inputs.reading_documents(spark, sf_dir), layout.raw_readings)
     documents = tables.scan_reading_documents(spark, layout.raw_readings)
     jobs.build_readings(spark, documents, layout.readings)
@@ -559,23 +559,23 @@ def _build_enriched(spark, sf_dir, label):
 
 
 @query
-def pipeline_enriched(spark, sf_dir):
-    layout = _build_enriched(spark, sf_dir, "pipeline-enriched")
+def job_enriched(spark, sf_dir):
+    layout = _build_enriched(spark, sf_dir, "job-enriched")
     return tables.scan_layer(spark, layout.enriched, schemas.ENRICHED)
 
 
 @query
-def pipeline_daily(spark, sf_dir):
-    layout = _build_enriched(spark, sf_dir, "pipeline-daily")
+def job_daily(spark, sf_dir):
+    layout = _build_enriched(spark, sf_dir, "job-daily")
     jobs.build_daily(spark, layout.enriched, layout.daily)
     return _daily(tables.scan_layer(spark, layout.daily, schemas.DAILY))
 
 
 @query
-def pipeline_full(spark, sf_dir):
+def job_full(spark, sf_dir):
     """All seven steps for the yellow feed, from landing folders to the quality gate."""
-    landed = _raw_layers(spark, sf_dir, "pipeline-landing")
-    layout = jobs.Layout(scratch_path(spark, "pipeline-full"))
+    landed = _raw_layers(spark, sf_dir, "job-landing")
+    layout = jobs.Layout(scratch_path(spark, "job-full"))
     window = _event_window(spark, sf_dir).first()
     jobs.run_pipeline(
         spark,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from skyfare.sources.settings import setting
@@ -19,6 +19,17 @@ def list_partitions(spark: SparkSession, root: str) -> DataFrame | None:
     written, so a month ``01`` keeps its zero. The listing is taken at once and
     held as a small table: its length is that of the calendar, not of the data.
     """
+    listed = _per_directory(spark, root)
+    return None if listed is None else spark.createDataFrame(_rows(spark, listed), listed.schema)
+
+
+def table_bytes(spark: SparkSession, root: str) -> int:
+    """Total size of a table's files; 0 if there are none."""
+    listed = _per_directory(spark, root)
+    return 0 if listed is None else sum(row.bytes for row in _rows(spark, listed))
+
+
+def _per_directory(spark: SparkSession, root: str) -> DataFrame | None:
     try:
         files = spark.read.format("binaryFile").load(root)
     except AnalysisException as error:
@@ -26,25 +37,21 @@ def list_partitions(spark: SparkSession, root: str) -> DataFrame | None:
             return None
         raise
     levels = [name for name in files.columns if name not in _FILE_COLUMNS]
-    per_directory = (
+    return (
         files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("directory"))
         .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
         .select(
             "*",
             *[F.regexp_extract("directory", f"/{name}=([^/]*)(/|$)", 1).alias(name) for name in levels],
         )
-        .orderBy("directory")
     )
+
+
+def _rows(spark: SparkSession, listed: DataFrame) -> list[Row]:
     # Contents are not read, so splits need not be small: without this a large
     # table would be listed by as many tasks as it takes to scan it.
     with setting(spark, "spark.sql.files.maxPartitionBytes", "1t"):
-        return spark.createDataFrame(per_directory.collect(), per_directory.schema)
-
-
-def table_bytes(spark: SparkSession, root: str) -> int:
-    """Total size of a table's files; 0 if there are none."""
-    partitions = list_partitions(spark, root)
-    return 0 if partitions is None else partitions.agg(F.sum("bytes")).first()[0] or 0
+        return sorted(listed.collect())
 
 
 def partition_values(spark: SparkSession, root: str, column: str) -> DataFrame:
