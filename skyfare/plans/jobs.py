@@ -91,9 +91,13 @@ def build_trips(
     """Raw months of all wanted feeds to the clean trip table.
 
     The whole table is replaced, other feeds included, unless ``replace`` is
-    ``"partitions"``. A month whose files lack a column that cleaning needs is
-    an error: all of its rows would vanish.
+    ``"partitions"``. That mode takes whole feeds only: a monthly file also holds
+    trips of days outside its month, so a few months cannot stand for the days
+    they touch. A month whose files lack a column that cleaning needs is an
+    error: all of its rows would vanish.
     """
+    if replace == "partitions" and (first_month or last_month):
+        raise ValueError("replacing partitions takes all months of a feed")
     frames = scan_raw_trips(spark, source, taxi_types, first_month, last_month)
     for frame in frames:
         absent = missing_required(frame)
@@ -115,16 +119,22 @@ def build_readings(
 
 
 def build_enriched(
-    spark: SparkSession, trips: str, readings: str, target: str, replace: Replace = "table"
+    spark: SparkSession,
+    trips: str,
+    readings: str,
+    target: str,
+    first_day: str | None = None,
+    last_day: str | None = None,
+    replace: Replace = "table",
 ) -> str:
-    """Clean trips and hourly readings to enriched trips.
+    """Clean trips and hourly readings to enriched trips, of all days or of a window.
 
     Trips come off a table that is already partitioned by day, and a broadcast
     join leaves them where they are, so they are written as they lie. Only the
     shuffle join beyond the broadcast bound has to gather the days again.
     """
-    trip_table = scan_layer(spark, trips, schemas.TRIPS)
-    reading_table = scan_layer(spark, readings, schemas.READINGS)
+    trip_table = _days(scan_layer(spark, trips, schemas.TRIPS), "pickup_date", first_day, last_day)
+    reading_table = _days(scan_layer(spark, readings, schemas.READINGS), "date", first_day, last_day)
     unmoved = broadcast_fits(reading_table)
     enriched = enrich_trips(trip_table, reading_table, broadcast_readings=unmoved)
     with sized_shuffles(spark, table_bytes(spark, trips)):
@@ -133,12 +143,29 @@ def build_enriched(
         )
 
 
-def build_daily(spark: SparkSession, enriched: str, target: str, replace: Replace = "table") -> str:
-    """Enriched trips to the daily table."""
-    metrics = daily_metrics(scan_layer(spark, enriched, schemas.ENRICHED))
+def build_daily(
+    spark: SparkSession,
+    enriched: str,
+    target: str,
+    first_day: str | None = None,
+    last_day: str | None = None,
+    replace: Replace = "table",
+) -> str:
+    """Enriched trips to the daily table, of all days or of a window."""
+    trips = scan_layer(spark, enriched, schemas.ENRICHED)
+    metrics = daily_metrics(_days(trips, "pickup_date", first_day, last_day))
     return write_layer(metrics, target, schemas.DAILY_PARTITIONS, replace)
 
 
+def _days(df: DataFrame, column: str, first: str | None, last: str | None) -> DataFrame:
+    """The partitions of an inclusive window of days; the others are not read."""
+    if first is not None:
+        df = df.filter(F.col(column) >= F.lit(first).cast("date"))
+    if last is not None:
+        df = df.filter(F.col(column) <= F.lit(last).cast("date"))
+    return df
+
+
 def check_layers(spark: SparkSession, layout: Layout) -> DataFrame:
     """The standard quality report on the tables as they are stored.
 

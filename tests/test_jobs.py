@@ -80,6 +80,32 @@ def test_rebuilding_one_feed(spark, landing_zone, tmp_path):
     assert types() == {"green"}
 
 
+def test_rebuilding_a_window_of_days(spark, landing_zone, tmp_path):
+    layout = jobs.Layout(str(tmp_path))
+    jobs.build_trips(spark, landing_zone.raw_trips, layout.trips)
+    documents = tables.scan_reading_documents(spark, landing_zone.raw_readings)
+    jobs.build_readings(spark, documents, layout.readings)
+
+    def build(*window, replace="table"):
+        jobs.build_enriched(spark, layout.trips, layout.readings, layout.enriched, *window, replace=replace)
+        jobs.build_daily(spark, layout.enriched, layout.daily, *window, replace=replace)
+        return [tuple(r) for r in _map_free(tables.scan_layer(spark, layout.daily, schemas.DAILY))]
+
+    whole = build()
+    days = [r[-1] for r in whole]
+    window = (days[3].isoformat(), days[5].isoformat())
+    assert build(*window, replace="partitions") == whole
+    assert build(*window) == whole[3:6]
+    with pytest.raises(ValueError, match="all months"):
+        jobs.build_trips(spark, landing_zone.raw_trips, layout.trips, None, "2024-01", None, "partitions")
+
+
+def _map_free(daily):
+    counts = F.array_sort(F.map_entries("payment_type_counts")).cast("string")
+    rounded = [F.round(c, 6).alias(c) for c in ("avg_fare_amount", "surge_proxy", "avg_temp", "total_precip")]
+    return daily.select("total_trips", *rounded, counts, "date").orderBy("date").collect()
+
+
 def test_gate_stops_the_run(spark, landing_zone, tmp_path):
     with pytest.raises(RuntimeError, match="silver.trips: missing table; silver.enriched_trips: missing table"):
         run(spark, jobs.Layout(str(tmp_path)), landing_zone, skip_steps=jobs.STEPS[:-1])
