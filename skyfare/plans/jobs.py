@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Iterable
-from dataclasses import dataclass
 from typing import Literal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,38 +44,26 @@ STEPS = (
 )
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Where the tables live below one root folder."""
-
-    root: str
-
-    def _at(self, *parts: str) -> str:
-        return "/".join([self.root.rstrip("/"), *parts])
-
-    @property
-    def raw_trips(self) -> str:
-        return self._at("bronze", "tlc")
+# The folder of each table below the root.
+RAW_TRIPS = "bronze/tlc"
+RAW_READINGS = "bronze/weather"
+TRIPS = "silver/trips"
+READINGS = "silver/weather"
+ENRICHED = "silver/enriched_trips"
+DAILY = "gold/daily_metrics"
 
-    @property
-    def raw_readings(self) -> str:
-        return self._at("bronze", "weather")
 
-    @property
-    def trips(self) -> str:
-        return self._at("silver", "trips")
-
-    @property
-    def readings(self) -> str:
-        return self._at("silver", "weather")
-
-    @property
-    def enriched(self) -> str:
-        return self._at("silver", "enriched_trips")
+class Layout:
+    """Where the tables live below one root folder."""
 
-    @property
-    def daily(self) -> str:
-        return self._at("gold", "daily_metrics")
+    def __init__(self, root: str) -> None:
+        self.root = root.rstrip("/")
+        self.raw_trips = f"{self.root}/{RAW_TRIPS}"
+        self.raw_readings = f"{self.root}/{RAW_READINGS}"
+        self.trips = f"{self.root}/{TRIPS}"
+        self.readings = f"{self.root}/{READINGS}"
+        self.enriched = f"{self.root}/{ENRICHED}"
+        self.daily = f"{self.root}/{DAILY}"
 
 
 def build_trips(

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from skyfare.operators.quality import (
@@ -77,8 +79,16 @@ def test_report_and_gate(spark):
         require_quality(bad)
 
 
-def test_one_pass_per_table(spark):
-    df = spark.range(10).selectExpr("id as a", "id as b")
-    rules = [NonEmpty(), NotNullRate(columns=("a",)), *value_range("b", 0.0, 5.0), UniqueRatio(columns=("a",))]
-    plan = check_table(df, "t", rules)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Range (0, 10") == 1
+def test_rules_share_a_pass_and_keys_travel_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).selectExpr("id as a", "id as b", "id as c").write.parquet(path)
+    rules = [
+        NonEmpty(),
+        NotNullRate(columns=("a",)),
+        UniqueRatio(columns=("a", "c")),
+        *value_range("b", 0.0, 5.0),
+    ]
+    report = check_table(spark.read.parquet(path), "t", rules)
+    assert [r.rule for r in report.orderBy("rule").collect()] == [1, 2, 3, 4, 5]
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"ReadSchema: struct<(.*?)>", plan) == ["a:bigint,b:bigint", "a:bigint,c:bigint"]
