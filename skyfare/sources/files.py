@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from skyfare.sources.settings import setting
@@ -15,8 +15,8 @@ _FILE_COLUMNS = ("path", "modificationTime", "length", "content")
 def list_partitions(spark: SparkSession, root: str) -> DataFrame | None:
     """One row per partition directory: ``directory``, ``files``, ``bytes`` and its values.
 
-    None if the path does not exist. The values are the directory names as
-    written, so a month ``01`` keeps its zero. The listing is taken at once and
+    None if the path does not exist. The values are text, so a month ``01`` keeps
+    its zero, without the escapes that special characters have in a path. The listing is taken at once and
     held as a small table: its length is that of the calendar, not of the data.
     """
     listed = _per_directory(spark, root)
@@ -42,11 +42,21 @@ def _per_directory(spark: SparkSession, root: str) -> DataFrame | None:
         .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
         .select(
             "*",
-            *[F.regexp_extract("directory", f"/{name}=([^/]*)(/|$)", 1).alias(name) for name in levels],
+            *[_unescaped(_segment(f"{name}=([^/]*)")).alias(name) for name in levels],
         )
     )
 
 
+def _segment(pattern: str) -> Column:
+    return F.regexp_extract("directory", f"/{pattern}(/|$)", 1)
+
+
+def _unescaped(value: Column) -> Column:
+    """``%3A`` and the like as characters; a plus sign stays one."""
+    plain = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+    return F.coalesce(plain, value)
+
+
 def _rows(spark: SparkSession, listed: DataFrame) -> list[Row]:
     # Contents are not read, so splits need not be small: without this a large
     # table would be listed by as many tasks as it takes to scan it.
@@ -68,9 +78,8 @@ def partition_inventory(spark: SparkSession, root: str, limit: int = 20) -> Data
     levels = [] if partitions is None else partitions.columns[3:]
     if not levels:
         return spark.createDataFrame([], "partition string, files bigint, bytes bigint")
-    name = F.concat(F.lit(f"{levels[0]}="), F.col(levels[0]))
     return (
-        partitions.groupBy(name.alias("partition"))
+        partitions.groupBy(_segment(f"({levels[0]}=[^/]*)").alias("partition"))
         .agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
         .orderBy("partition")
         .limit(limit)

@@ -97,6 +97,16 @@ def test_scan_bridges_schema_drift(spark, tmp_path):
         tables.scan_raw_trips(spark, root, ["purple"])
 
 
+def test_special_characters_in_partition_values(spark, tmp_path):
+    root = str(tmp_path / "a b")
+    df = spark.createDataFrame([(1, "x:y+z", "2024", "01")], "id int, taxi_type string, year string, month string")
+    df.write.partitionBy("taxi_type", "year", "month").parquet(root)
+    assert rows(files.partition_values(spark, root, "taxi_type")) == [("x:y+z",)]
+    assert files.partition_inventory(spark, root).first().partition == "taxi_type=x%3Ay+z"
+    (frame,) = tables.scan_raw_trips(spark, root, ["x:y+z"])
+    assert rows(frame) == [(1, "x:y+z", "2024", "01")]
+
+
 def test_absent_trip_table(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.scan_raw_trips(spark, str(tmp_path / "absent"))
