@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfare.llm.components import components
@@ -131,17 +131,20 @@ def _full_sets(size: int) -> Callable[[Batches], Batches]:
 def _possible(percent: int) -> F.Column:
     """Whether sizes and the places of a shared n-gram allow the similarity.
 
-    ``i`` and ``j`` count the n-grams before the shared one: what is shared in
-    all is at most that one, the earlier ones and what follows in either.
+    ``i`` and ``j`` count the n-grams before the shared one, ``si`` and ``sj``
+    those of them that stand at the head of another row as well. An earlier
+    n-gram of both rows is at the head of both, so at most the lesser of ``si``
+    and ``sj`` are shared before this one, and what follows in either after it.
     """
     enough = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
-    most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) + F.least("i", "j")
+    most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) + F.least("si", "sj")
     sizes = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     return sizes & (most >= enough)
 
 
-def _columns(rows: DataFrame, node: str, n: str, place: str) -> DataFrame:
-    return rows.withColumnsRenamed({"id": node, "n": n, "place": place, "component": f"c{node}"})
+def _side(rows: DataFrame, node: str, place: str) -> DataFrame:
+    names = {"id": node, "n": f"n{node}", "place": place, "before": f"s{place}", "component": f"c{node}"}
+    return rows.withColumnsRenamed(names)
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
@@ -156,12 +159,19 @@ def _pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(*[column.alias(name) for name, column in picked.items()]).distinct()
 
 
-def _links(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar, by the exact overlap of their sets."""
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def _sets_of(ids: DataFrame, documents: DataFrame, size: int) -> DataFrame:
+    """Full sets of the documents with these ids; texts are hashed to them, never sorted."""
     kind = dict(documents.dtypes)["doc_id"]
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = documents.join(ids, "doc_id", "left_semi")
-    sets = stored(needed.mapInArrow(_full_sets(size), f"id {kind}, grams array<bigint>"), "sets")
+    needed = documents.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    return stored(needed.mapInArrow(_full_sets(size), f"id {kind}, grams array<bigint>"), "sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that are similar, by the exact overlap of their sets."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
@@ -194,14 +204,17 @@ def jaccard_components(
     heads = classes.agg(F.min(F.struct("doc_id", "head")).alias("least"))
     postings = heads.select(F.col("least.doc_id").alias("id"), "n", F.posexplode("least.head").alias("place", "gram"))
     often = postings.groupBy("gram").count().where("count > 1").select("gram")
-    shared = stored(postings.join(often, "gram"), "postings")
+    in_row = Window.partitionBy("id").orderBy("place")
+    shared = postings.join(often, "gram").withColumn("before", F.row_number().over(in_row) - 1)
+    shared = stored(shared, "postings")
 
     # first, every row of a column against a few rows of the column
     some = shared.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("class"))
-    pivots = some.agg(F.min(F.struct("id", "n", "place")).alias("least")).select("gram", "least.*")
-    tried = _columns(pivots, "a", "na", "i").join(_columns(shared, "b", "nb", "j"), "gram")
+    pivots = some.agg(F.min(F.struct("id", "n", "place", "before")).alias("least")).select("gram", "least.*")
+    tried = _side(pivots, "a", "i").join(_side(shared, "b", "j"), "gram")
     tried = stored(_pairs(tried.where((F.col("a") != F.col("b")) & _possible(percent))), "first-pairs")
-    links = stored(_links(tried, frame, size, percent), "first-links")
+    sets = _sets_of(_nodes(tried), frame, size)
+    links = stored(_links(tried, sets, percent), "first-links")
     stars = components(links)
 
     # then, all pairs of a column that are not connected by now
@@ -209,9 +222,13 @@ def jaccard_components(
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     divided = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     open_ = stored(placed.join(divided.select("gram"), "gram"), "divided")
-    rest = _columns(open_, "a", "na", "i").join(_columns(open_, "b", "nb", "j"), "gram")
+    rest = _side(open_, "a", "i").join(_side(open_, "b", "j"), "gram")
     rest = _pairs(rest.where((F.col("ca") < F.col("cb")) & _possible(percent))).join(tried, ["a", "b"], "left_anti")
-    more = stored(_links(stored(rest, "other-pairs"), frame, size, percent), "other-links")
+    rest = stored(rest, "other-pairs")
+    fresh = stored(_nodes(rest).join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), "other-rows")
+    if not fresh.isEmpty():
+        sets = sets.union(_sets_of(fresh, frame, size))
+    more = stored(_links(rest, sets, percent), "other-links")
     if not more.isEmpty():
         joined = stars.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         stars = components(joined.union(more))
