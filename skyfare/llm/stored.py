@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skyfare.sources.scratch import scratch_path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a table below ``spark.checkpoint.dir`` and read it back: lineage ends there.
 
     Whoever owns that folder empties it; a result may still read the table
@@ -15,5 +15,5 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
