@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyfare.llm.bpe import encode_documents
 from skyfare.llm.decontaminate import find_benchmark
+from skyfare.llm.quality import score_quality
 from skyfare.llm.shingle_join import jaccard_components
 from skyfare.llm.token_counts import count_tokens
 from skyfare.llm.token_files import read_tokens, write_tokens
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = scratch_path(spark, "token-count-cache")
