@@ -2,4 +2,21 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_nearest_neighbours": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS x,
+                   sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size
+            FROM embeddings
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) / (q.size * c.size) AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+                   vec_id, score
+            FROM pairs
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}

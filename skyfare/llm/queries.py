@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skyfare.llm.bpe import encode_documents
 from skyfare.llm.decontaminate import find_benchmark
+from skyfare.llm.html_text import extract_text
+from skyfare.llm.neighbours import nearest
 from skyfare.llm.quality import score_quality
 from skyfare.llm.shingle_join import jaccard_components
 from skyfare.llm.token_counts import count_tokens
@@ -34,6 +36,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return nearest(embeddings, embeddings.where("vec_id % 50 = 0"), k=5)
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = scratch_path(spark, "token-count-cache")
@@ -54,6 +62,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
