@@ -11,11 +11,13 @@ from skyfare.llm.bpe import encode_documents
 from skyfare.llm.decontaminate import find_benchmark
 from skyfare.llm.html_text import extract_text
 from skyfare.llm.neighbours import nearest
+from skyfare.llm.pii import KINDS, find_personal_data, spans_text
 from skyfare.llm.quality import score_quality
 from skyfare.llm.shingle_join import jaccard_components
 from skyfare.llm.token_counts import count_tokens
 from skyfare.llm.token_files import read_tokens, write_tokens
 from skyfare.llm.units import tokenizer_path
+from skyfare.llm.url_filter import judge_urls
 from skyfare.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +81,11 @@ def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -90,3 +97,16 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in KINDS],
+        F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
