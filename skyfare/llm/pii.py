@@ -56,7 +56,7 @@ GENERATORS = (
     ),
     Generator(
         "grouped_phone", "phone",
-        r"(?<![0-9A-Za-z+])(?:\(?[0-9]{2,4}\)?[\x20.-]\x20?){2,4}+[0-9]{3,5}(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z+])(?:\(?[0-9]{2,4}\)?[\x20.-]\x20?){2,4}[0-9]{3,5}(?![0-9A-Za-z])",
     ),
     Generator("long_ip", "ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}+[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", (":",)),
 )
@@ -279,25 +279,30 @@ def redact(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     Spans that overlap become one, named by the first. All columns stay, NULL
     texts too. Rows that share id and text share their spans.
     """
-    found = find_personal_data(documents.select(F.struct(doc_id, F.xxhash64(text)).alias("key"), text), doc_id="key", text=text)
-    found = found.where(F.size("spans") > 0).select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.*").distinct()
-    ordered = Window.partitionBy("doc_id").orderBy("start", "kind_no", "end")
+    others = F.struct(*[F.col(name) for name in documents.columns if name != text])
+    rows = documents.select(others.alias("others"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = rows.withColumn("key", F.struct("id", F.xxhash64("text").alias("text")))
+    found = find_personal_data(rows, doc_id="key").where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("key"), F.explode("spans").alias("span")).select("key", "span.*").distinct()
+
+    # overlapping spans become one
+    ordered = Window.partitionBy("key").orderBy("start", "kind_no", "end")
     reached = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     apart = found.withColumn("new", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
     apart = apart.withColumn("group", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = apart.groupBy("doc_id", "group").agg(
-        F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.min_by("kind", F.struct("start", "kind_no")).alias("kind")
-    )
-    cuts = merged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
-    cuts = cuts.select(F.col(f"doc_id.{doc_id}").alias("cut_id"), F.col("doc_id.col2").alias("cut_text"), "cuts")
-    same = documents[doc_id].eqNullSafe(cuts["cut_id"]) & (F.xxhash64(documents[text]) == cuts["cut_text"])
-    joined = documents.join(cuts.hint("shuffle_hash"), same, "left")
+    first = F.min_by("kind", F.struct("start", "kind_no"))
+    cut = apart.groupBy("key", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), first.alias("kind"))
+    ends = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "kind")
+    cuts = cut.groupBy("key").agg(F.array_sort(F.collect_list(ends)).alias("cuts"))
+    cuts = cuts.select(F.col("key.id").alias("cut_id"), F.col("key.text").alias("cut_text"), "cuts").hint("shuffle_hash")
+    same = F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("key.text") == F.col("cut_text"))
+    joined = rows.join(cuts, same, "left")
 
     def kept(cut: Column, k: Column) -> Column:
         last = F.when(k == 0, 0).otherwise(F.get("cuts", k - 1)["end"])
-        return F.concat(F.substring(text, last + 1, cut["start"] - last), F.lit("["), F.upper(cut["kind"]), F.lit("]"))
+        return F.concat(F.substring("text", last + 1, cut["start"] - last), F.lit("["), F.upper(cut["kind"]), F.lit("]"))
 
-    tail = F.element_at("cuts", -1)["end"]
-    whole = F.concat(F.array_join(F.transform("cuts", kept), ""), F.substring(text, tail + 1, F.length(text)))
-    redacted = F.when(F.col("cuts").isNotNull(), whole).otherwise(F.col(text))
-    return joined.select(*[redacted.alias(text) if c == text else documents[c] for c in documents.columns])
+    tail = F.substring("text", F.element_at("cuts", -1)["end"] + 1, F.length("text"))
+    whole = F.concat(F.array_join(F.transform("cuts", kept), ""), tail)
+    redacted = F.when(F.col("cuts").isNotNull(), whole).otherwise(F.col("text")).alias(text)
+    return joined.select(*[redacted if name == text else F.col("others")[name].alias(name) for name in documents.columns])

@@ -240,6 +240,20 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def _known(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """(doc_id, y, part) of the documents that labels are learnt from."""
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y"))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold() != 0))
+    return known.groupBy("doc_id").agg(F.avg("y").alias("y")).withColumn("part", fold())
+
+
+def _table(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The statistics of every document, written once for scales, fitting and scoring."""
+    frame = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = f"doc_id {dict(frame.dtypes)['doc_id']}, " + ", ".join(f"{name} double" for name in FEATURES)
+    return stored(frame.mapInArrow(_statistics, schema), "statistics")
+
+
 def score_quality(
     documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> DataFrame:
@@ -253,14 +267,26 @@ def score_quality(
     any other. Repeated rows stay. Without labels every score is 0.5, an empty
     table gives an empty table, and other columns are not read.
     """
-    frame = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(frame.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, " + ", ".join(f"{name} double" for name in FEATURES)
-    features = stored(frame.mapInArrow(_statistics, schema), "statistics")
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("double").alias("y"))
-    known = known.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold() != 0))
-    known = known.groupBy("doc_id").agg(F.avg("y").alias("y")).withColumn("part", fold())
-    model = fit(features, known)
-    scored = features.mapInArrow(_scores(model), f"doc_id {kind}, score double")
+    features = _table(documents, doc_id, text)
+    model = fit(features, _known(labels, doc_id, label))
+    scored = features.mapInArrow(_scores(model), f"doc_id {dict(features.dtypes)['doc_id']}, score double")
     held_out = F.coalesce(fold() == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    predicted = (F.col("score") >= THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def _good(model: Model, text: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for rows, data, offsets in slices(batch, text):
+                yield rows.filter(pa.array(model.score(statistics(data, offsets)) >= THRESHOLD))
+
+    return run
+
+
+def keep_good(
+    documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """The document rows that ``score_quality`` predicts to be good, with all their columns."""
+    model = fit(_table(documents, doc_id, text), _known(labels, doc_id, label))
+    return documents.mapInArrow(_good(model, text), documents.schema)
