@@ -20,9 +20,9 @@ from tokenizers import Tokenizer
 # Spark runs a task on each core already.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# What a table remembers at most, about 200 MB; it starts anew beyond it.
-MOST_PIECES = 800_000
-MOST_PARTS = 400_000
+# What a table remembers at most, about 120 MB; it starts anew beyond it.
+MOST_PIECES = 400_000
+MOST_PARTS = 250_000
 # Characters of text that are worked on at once.
 BATCH_CHARS = 2_000_000
 # Symbols that never join a letter or digit before them.
@@ -56,13 +56,13 @@ def joinable(piece: str, special: tuple[str, ...]) -> bool:
     return not any(x in piece for x in special)
 
 
-def split_end(piece: str) -> tuple[str, str]:
-    """A piece without the symbols at its end, and those; the whole if they may belong together."""
+def split_end(piece: str) -> str:
+    """A piece without the symbols at its end; all of it if they may belong together."""
     stem = piece.rstrip(END_SYMBOLS)
     # a letter may become a letter and a mark in lower case
-    if len(stem) < len(piece) and stem and stem[-1].isalnum() and stem[-1].lower()[-1].isalnum():
-        return stem, piece[len(stem) :]
-    return piece, ""
+    if stem and stem[-1].isalnum() and stem[-1].lower()[-1].isalnum():
+        return stem
+    return piece
 
 
 class Pieces:
@@ -76,28 +76,38 @@ class Pieces:
         self,
         encode: Callable[[list[str]], Iterable[Any]],
         prefix: str = "",
-        alone: Callable[[str], bool] = lambda piece: True,
-        fold: Callable[[str], str] = lambda stem: stem,
+        alone: Callable[[str], bool] | None = None,
+        most_pieces: int = MOST_PIECES,
+        most_parts: int = MOST_PARTS,
     ):
-        self.encode, self.prefix, self.alone, self.fold = encode, prefix, alone, fold
+        self.encode, self.prefix, self.alone = encode, prefix, alone
+        self.most_pieces, self.most_parts = most_pieces, most_parts
         self.table: dict[str, Any] = {}
         self.parts: dict[str, Any] = {}
+        self.ends: dict[str, Any] = {}
+
+    def _values(self, known: dict[str, Any], parts: list[str], prefix: str) -> Iterable[Any]:
+        new = list(set(parts).difference(known))
+        known.update(zip(new, self.encode([prefix + x for x in new] if prefix else new), strict=True))
+        return map(known.__getitem__, parts)
 
     def learn(self, pieces: set[str]) -> None:
         unknown = pieces.difference(self.table)
-        if len(self.table) + len(unknown) > MOST_PIECES:
+        if len(self.table) + len(unknown) > self.most_pieces:
             self.table, unknown = {}, pieces
-        if len(self.parts) > MOST_PARTS:
+        if len(self.parts) > self.most_parts:
             self.parts = {}
-        cut = []
-        for piece in unknown:
-            stem, end = split_end(piece)
-            cut.append((piece, self.prefix + self.fold(stem), end))
-        new = list({x for _, stem, end in cut for x in (stem, end)}.difference(self.parts))
-        self.parts.update(zip(new, self.encode(new), strict=True))
-        for piece, stem, end in cut:
-            value = self.parts[stem] + self.parts[end] if end else self.parts[stem]
-            self.table[piece] = value if self.alone(piece) else None
+        whole = list(unknown)
+        stems = list(map(split_end, whole))
+        ends = [x[len(stem) :] for x, stem in zip(whole, stems, strict=True)]
+        empty = next(iter(self.encode([""])))
+        self.ends.setdefault("", empty)
+        values = zip(self._values(self.parts, stems, self.prefix), self._values(self.ends, ends, ""), strict=True)
+        self.table.update(zip(whole, (a + b if b else a for a, b in values), strict=True))
+        if self.alone:
+            self.table.update((x, None) for x in whole if not self.alone(x))
+        if len(self.ends) > self.most_parts:
+            self.ends = {}
 
 
 def chunks(batch: pa.RecordBatch, column: str, most_chars: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are worked on in slices of about this many bytes, which bounds the arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # White space of ``[^\x20\x09-\x0D]+``.
 SPACE_WORD = np.ones(256, bool)
