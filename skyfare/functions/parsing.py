@@ -12,6 +12,9 @@ READING_TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss")
 # Text that states a date and maybe a time of day, but no zone.
 _ZONELESS = r"^\s*\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d*)?)?)?)?)?\s*$"
 
+# Text that states a time of day only; Spark would take today's date for it.
+_DATELESS = r"^\s*T?\d{1,2}:"
+
 
 def tolerant_cast(column: Column, source: T.DataType, target: T.DataType) -> Column:
     """Cast to ``target``; values that do not fit become NULL.
@@ -33,6 +36,7 @@ def wall_clock(column: Column, source: T.DataType, formats: tuple[str, ...] = ()
 
     Text without a zone keeps the clock reading it states. Instants (zoned
     text, zoned timestamps, epoch seconds) show the clock of the session zone.
+    Text without a date is NULL, whatever day it is read on.
     """
     if isinstance(source, T.TimestampNTZType):
         return column
@@ -42,5 +46,6 @@ def wall_clock(column: Column, source: T.DataType, formats: tuple[str, ...] = ()
     if not isinstance(source, T.StringType):
         return instant
     parsed = F.when(column.rlike(_ZONELESS), column.try_cast("timestamp_ntz")).otherwise(instant)
+    parsed = F.when(~column.rlike(_DATELESS), parsed)
     extra = [F.try_to_timestamp(column, F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(parsed, *extra) if extra else parsed

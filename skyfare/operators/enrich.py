@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyfare.operators.readings import dedupe_hours
 from skyfare.schemas import READING_MEASURES
+from skyfare.sources.settings import PARTITIONS
 
 # One hour is two keys and three doubles, under 100 bytes in a broadcast hash
 # table, so this many hours (114 years of one station) stay under 100 MB.
 MAX_BROADCAST_HOURS = 1_000_000
 
+# A busy hour is spread over at least so many tasks, and over more as the
+# session's shuffles get wider.
 SALTS = 32
+PARTITIONS_PER_SALT = 64
 
 
 def broadcast_fits(readings: DataFrame, max_hours: int = MAX_BROADCAST_HOURS) -> bool:
@@ -20,6 +25,10 @@ def broadcast_fits(readings: DataFrame, max_hours: int = MAX_BROADCAST_HOURS) ->
     return readings.select("date", "hour").distinct().count() <= max_hours
 
 
+def _shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get(PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def enrich_trips(
     trips: DataFrame, readings: DataFrame, broadcast_readings: bool | None = None
 ) -> DataFrame:
@@ -48,8 +57,10 @@ def enrich_trips(
     else:
         # The salt is a hash of the trip, so a task that runs again after an
         # executor loss gives each row the same salt.
-        salt = F.pmod(F.xxhash64(*trips.columns), F.lit(SALTS)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salts = max(SALTS, _shuffle_partitions(trips.sparkSession) // PARTITIONS_PER_SALT)
+        plain = [f.name for f in trips.schema if isinstance(f.dataType, T.AtomicType)]
+        salt = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
         joined = (
             trips.withColumn("_salt", salt)
             .join(

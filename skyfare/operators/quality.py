@@ -36,6 +36,8 @@ class Rule:
     check: str = ""
     columns: tuple[str, ...] = ()
     threshold: float = 0.0
+    # whether an earlier rule reports that the column is missing
+    follows: bool = False
 
     def aggregates(self) -> dict[str, Column]:
         """What to measure; ``rows`` is measured for every table."""
@@ -53,13 +55,20 @@ class Rule:
         return MISSING_COLUMN.format(table=table, column=columns[0])
 
     def text(self, message: str, table: str, shown: Column | None = None) -> Column:
-        filled = message.format(
-            table=table,
-            column=self.columns[0] if self.columns else "",
-            columns=list(self.columns),
-            threshold=self.threshold,
-        )
-        return F.lit(filled) if shown is None else F.format_string(filled, shown)
+        """The message with its names and, in place of ``%s``, the shown value.
+
+        The parts are joined, not printed: a name may hold any character.
+        """
+        filled = [
+            part.format(
+                table=table,
+                column=self.columns[0] if self.columns else "",
+                columns=list(self.columns),
+                threshold=self.threshold,
+            )
+            for part in message.split("%s")
+        ]
+        return F.lit(filled[0]) if shown is None else F.concat(F.lit(filled[0]), shown, F.lit(filled[1]))
 
 
 def _three_decimals(rate: Column) -> Column:
@@ -91,6 +100,19 @@ class NonEmpty(Rule):
         return F.when(value["rows"] == 0, self.text(ZERO_ROWS, table))
 
 
+@dataclass(frozen=True)
+class HasColumn(Rule):
+    """The column exists, whatever it holds."""
+
+    check: str = "column"
+
+    def observed(self, value):
+        return F.lit(None)
+
+    def failure(self, table, value):
+        return F.lit(None)
+
+
 @dataclass(frozen=True)
 class NotNullRate(Rule):
     """Share of non-NULL values is at least ``threshold``; an empty table fails."""
@@ -172,13 +194,17 @@ class UniqueRatio(Rule):
 
 
 def value_range(column: str, low: float | None = None, high: float | None = None) -> list[Rule]:
-    """The rules for a range that may be open at either end."""
+    """The rules for a range that may be open at either end.
+
+    A missing column fails the first of them only, and the one rule of a range
+    that is open at both ends.
+    """
     rules: list[Rule] = []
     if low is not None:
         rules.append(AtLeast(columns=(column,), threshold=low))
     if high is not None:
-        rules.append(AtMost(columns=(column,), threshold=high))
-    return rules
+        rules.append(AtMost(columns=(column,), threshold=high, follows=low is not None))
+    return rules or [HasColumn(columns=(column,))]
 
 
 # The rules and thresholds of the standard report.
@@ -219,7 +245,7 @@ def _one_pass(df: DataFrame, table: str, numbered: Sequence[tuple[int, Rule]]) -
     for number, rule in numbered:
         absent = [name for name in rule.columns if name not in df.columns]
         if absent:
-            message = F.lit(rule.absent(table, absent))
+            message = F.lit(None if rule.follows else rule.absent(table, absent))
             report.append(_row(number, table, rule, F.lit(None), message))
             continue
         value = {"rows": F.col("rows")}

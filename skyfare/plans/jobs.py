@@ -179,14 +179,14 @@ def run_pipeline(
     spark: SparkSession,
     layout: Layout,
     *,
-    landing_trips: str = "",
-    landing_readings: str = "",
-    taxi_type: str = "yellow",
-    start_month: str = "2024-01",
-    end_month: str = "2024-01",
-    start_date: str = "2024-01-01",
-    end_date: str = "2024-01-03",
-    today: str = "9999-12-31",
+    landing_trips: str,
+    landing_readings: str,
+    taxi_type: str,
+    start_month: str,
+    end_month: str,
+    start_date: str,
+    end_date: str,
+    today: str,
     skip_steps: Collection[str] = (),
     raw_readings_format: Literal["parquet", "json"] = "parquet",
 ) -> list[str]:

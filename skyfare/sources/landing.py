@@ -22,7 +22,7 @@ def _landed_units(partitions: DataFrame | None) -> DataFrame | None:
     if partitions is None or not set(UNIT_COLUMNS) <= set(partitions.columns):
         return None
     return partitions.filter("bytes > 0").select(
-        "taxi_type", F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month")
+        "taxi_type", F.col("year").try_cast("int").alias("year"), F.col("month").try_cast("int").alias("month")
     )
 
 
@@ -51,7 +51,7 @@ def land_missing_months(
     partitions = list_partitions(spark, landing)
     if partitions is None:
         raise FileNotFoundError(f"no trip files under {landing}")
-    unit = F.struct(F.col("year").cast("int"), F.col("month").cast("int"))
+    unit = F.struct(F.col("year").try_cast("int"), F.col("month").try_cast("int"))
     chosen = (F.col("taxi_type") == taxi_type) & _among(unit, wanted)
     frames = scan_units(spark, landing, partitions.filter(chosen & (F.col("bytes") > 0)))
     _require_rows(frames, taxi_type, wanted)
@@ -90,11 +90,12 @@ def tag_provenance(documents: DataFrame, endpoint: str | None = None) -> DataFra
 
 
 def landed_days(spark: SparkSession, destination: str) -> DataFrame | None:
-    """The days ``destination`` holds, from its directory names."""
+    """The days ``destination`` holds, from its directory names; names that are no day don't count."""
     partitions = list_partitions(spark, destination)
     if partitions is None or "date" not in partitions.columns:
         return None
-    return partitions.filter("bytes > 0").select(F.col("date").cast("date").alias("date"))
+    days = partitions.filter("bytes > 0").select(F.col("date").try_cast("date").alias("date"))
+    return days.filter("date is not null")
 
 
 def land_new_days(

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder named by ``spark.checkpoint.dir``.
+    """A new path in a folder that all executors share.
 
-    Only a session that runs inside this machine (``local[...]``) may go
-    without that setting; there a temporary folder takes its place.
+    That is the folder of ``spark.checkpoint.dir``, else the context's
+    checkpoint folder, else one below the warehouse.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="skyfare-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

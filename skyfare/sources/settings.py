@@ -17,10 +17,6 @@ BYTES_PER_TASK = 512 * 1024**2
 # Spark's own target for a reduce task, good for tables of some gigabytes.
 SPARK_BYTES_PER_TASK = 64 * 1024**2
 
-# More reduce tasks than this cost more in tiny blocks (one per map and reduce
-# task) than they save in spilling; above it, tasks grow and spill.
-MOST_PARTITIONS = 50_000
-
 PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 TARGET = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
@@ -49,7 +45,7 @@ def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[None]:
     files are. What the session sets itself stands if it is larger.
     """
     shuffled = input_bytes * EXPANSION
-    needed = min(-(-shuffled // BYTES_PER_TASK), MOST_PARTITIONS)
+    needed = -(-shuffled // BYTES_PER_TASK)
     own = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(PARTITIONS, None) or 0)
     )

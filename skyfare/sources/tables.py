@@ -6,7 +6,8 @@ from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Literal
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,9 @@ UNIT_COLUMNS = ("taxi_type", "year", "month")
 # How many months have their file footer read at the same time.
 FOOTER_READERS = 16
 
+# Rows of one written file at most, some gigabytes of trips.
+MOST_RECORDS = 20_000_000
+
 
 def scan_raw_trips(
     spark: SparkSession,
@@ -56,14 +60,16 @@ def scan_raw_trips(
 def scan_units(spark: SparkSession, root: str, partitions: DataFrame) -> list[DataFrame]:
     """One scan per distinct Parquet schema over the directories of ``partitions``.
 
-    What comes to the driver is one path per feed and month, and one file
-    footer for each: metadata, bounded by the length of the calendar.
+    The files of a directory may differ in columns: its schema is that of all
+    of them, merged by executors. Where they differ in types, its files are
+    grouped instead. What comes to the driver is one schema per feed and month,
+    or per file of such a month.
     """
     directories = [r.directory for r in partitions.orderBy("directory").collect()]
     with ThreadPoolExecutor(FOOTER_READERS) as pool:
-        schemas = list(pool.map(lambda path: spark.read.parquet(path).schema, directories))
+        found = [unit for units in pool.map(lambda path: _schemas(spark, path), directories) for unit in units]
     by_schema: dict[str, tuple[T.StructType, list[str]]] = {}
-    for path, schema in zip(directories, schemas):
+    for path, schema in found:
         by_schema.setdefault(schema.json(), (schema, []))[1].append(path)
     units = T.StructType([T.StructField(name, T.StringType()) for name in UNIT_COLUMNS])
     return [
@@ -72,6 +78,17 @@ def scan_units(spark: SparkSession, root: str, partitions: DataFrame) -> list[Da
     ]
 
 
+def _schemas(spark: SparkSession, directory: str) -> list[tuple[str, T.StructType]]:
+    """The directory with its merged schema, or its files each with their own if types differ."""
+    try:
+        return [(directory, spark.read.option("mergeSchema", True).parquet(directory).schema)]
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE_SCHEMAS" not in str(error):
+            raise
+    files = spark.read.format("binaryFile").load(directory).where("length > 0").select("path")
+    return [(r.path, spark.read.parquet(r.path).schema) for r in files.orderBy("path").collect()]
+
+
 def scan_reading_documents(spark: SparkSession, root: str) -> DataFrame:
     """Daily JSON documents below ``date=``, one row per document.
 
@@ -129,6 +146,7 @@ def write_layer(
         df = df.hint("rebalance", *partition_by)
     (
         df.write.mode("overwrite")
+        .option("maxRecordsPerFile", MOST_RECORDS)
         .option("partitionOverwriteMode", "static" if replace == "table" else "dynamic")
         .partitionBy(*partition_by)
         .parquet(path)

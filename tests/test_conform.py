@@ -182,3 +182,9 @@ def test_dedupe_keeps_feeds_apart(spark):
     b = conform.conform_trips(raw(spark, raw_trip(), raw_trip()), "green")
     both = conform.dedupe_trips(conform.union_feeds([a, b]))
     assert sorted(r.taxi_type for r in both.collect()) == ["green", "yellow"]
+
+
+def test_text_without_a_date_is_null(spark):
+    times = spark.createDataFrame([("12:30",), ("T08:00:00",), (" 7:05 ",), ("2024-01-01 07:05",)], "t string")
+    read = times.select(wall_clock(F.col("t"), T.StringType(), ("HH:mm",)[:0]).cast("string").alias("t"))
+    assert [r.t for r in read.collect()] == [None, None, None, "2024-01-01 07:05:00"]

@@ -25,6 +25,9 @@ def run(spark, layout, zone, **more):
         layout,
         landing_trips=zone.raw_trips,
         landing_readings=zone.raw_readings,
+        taxi_type="yellow",
+        start_month="2024-01",
+        end_month="2024-01",
         start_date="2024-01-01",
         end_date="2024-01-05",
         today="2024-01-04",
@@ -116,12 +119,12 @@ def test_missing_inputs(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         jobs.build_trips(spark, layout.raw_trips, layout.trips)
     with pytest.raises(FileNotFoundError):
-        jobs.run_pipeline(spark, layout, skip_steps=[s for s in jobs.STEPS if s != "silver_weather"])
+        run(spark, layout, layout, skip_steps=[s for s in jobs.STEPS if s != "silver_weather"])
     empty = spark.createDataFrame([], schemas.READING_DOCUMENT)
     with pytest.raises(FileNotFoundError):
         jobs.build_readings(spark, empty, layout.readings)
     with pytest.raises(ValueError, match="unknown steps"):
-        jobs.run_pipeline(spark, layout, skip_steps=["silver"])
+        run(spark, layout, layout, skip_steps=["silver"])
 
 
 def test_feed_without_required_column(spark, tmp_path):

@@ -92,3 +92,17 @@ def test_rules_share_a_pass_and_keys_travel_alone(spark, tmp_path):
     assert [r.rule for r in report.orderBy("rule").collect()] == [1, 2, 3, 4, 5]
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"ReadSchema: struct<(.*?)>", plan) == ["a:bigint,b:bigint", "a:bigint,c:bigint"]
+
+
+def test_a_missing_column_is_reported_once(spark):
+    df = spark.range(1)
+    for low, high in ((0.0, 1.0), (None, None), (None, 1.0)):
+        report = check_table(df, "t", value_range("gone", low, high))
+        messages = [r.message for r in report.collect() if r.message]
+        assert messages == ["t: missing required column 'gone'"]
+
+
+def test_names_may_hold_any_character(spark):
+    df = spark.range(1).selectExpr("-1 as `p%d`")
+    (row,) = check_table(df, "t%s", value_range("p%d", low=0.0)).collect()
+    assert row.message == "t%s: column 'p%d' min -1 < 0.0"

@@ -268,7 +268,7 @@ def test_shuffles_grow_with_the_input(spark):
         assert partitions() == 3726
         assert spark.conf.get(settings.TARGET) == f"{512 * 2**20}b"
     with sized_shuffles(spark, 100 * 10**12):
-        assert partitions() == 50_000
+        assert partitions() == 372_530
     assert spark.conf.get(settings.PARTITIONS, None) is None
     assert spark.conf.get(settings.TARGET, None) is None
 
@@ -282,3 +282,32 @@ def test_listing_does_not_open_files(spark, tmp_path):
     assert tuple(row)[1:] == (2, 23, "01", "x")
     assert files.table_bytes(spark, str(tmp_path)) == 23
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") != "1t"
+
+
+def test_a_month_of_differing_files_keeps_all_values(spark, tmp_path):
+    root = str(tmp_path / "raw")
+    month = f"{root}/taxi_type=yellow/year=2024/month=01"
+    spark.range(2).selectExpr("id as VendorID", "1.5D as fare_amount", "2L as passenger_count").write.parquet(month)
+    spark.range(2, 3).selectExpr("id as VendorID").write.mode("append").parquet(month)
+    other = f"{root}/taxi_type=yellow/year=2024/month=02"
+    spark.range(1).selectExpr("id as VendorID", "1L as passenger_count").write.parquet(other)
+    spark.range(1).selectExpr("id as VendorID", "'2' as passenger_count").write.mode("append").parquet(other)
+    frames = tables.scan_raw_trips(spark, root)
+    rows = [tuple(r) for f in frames for r in f.selectExpr("month", "VendorID", "string(passenger_count)").collect()]
+    assert sorted(rows, key=str) == [
+        ("01", 0, "2"),
+        ("01", 1, "2"),
+        ("01", 2, None),
+        ("02", 0, "1"),
+        ("02", 0, "2"),
+    ]
+
+
+def test_stray_directories_do_not_stop_a_landing(spark, tmp_path):
+    stray = tmp_path / "date=__HIVE_DEFAULT_PARTITION__"
+    stray.mkdir()
+    (stray / "weather.json").write_text("{}")
+    good = tmp_path / "date=2024-01-02"
+    good.mkdir()
+    (good / "weather.json").write_text("{}")
+    assert [str(r.date) for r in landing.landed_days(spark, str(tmp_path)).collect()] == ["2024-01-02"]
