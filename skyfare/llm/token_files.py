@@ -56,8 +56,14 @@ def _pieces(path: str) -> Pieces:
     if path not in _encoders:
         own = tokenizer(path)
 
+        merge = own.model.tokenize
+
         def encode(parts: list[str]) -> list[bytes]:
-            return [array("I", x.ids).tobytes() for x in own.encode_batch_fast(parts, add_special_tokens=False)]
+            # a word of ASCII small letters is as the normaliser and the word pattern leave it
+            whole = [x for x in parts if not (x.isascii() and x.isalpha() and x.islower())]
+            found = own.encode_batch_fast(whole, add_special_tokens=False)
+            ids = {x: array("I", e.ids).tobytes() for x, e in zip(whole, found, strict=True)}
+            return [ids[x] if x in ids else array("I", [t.id for t in merge(x)]).tobytes() for x in parts]
 
         _encoders[path] = Pieces(encode, most_pieces=MOST_PIECES, most_parts=MOST_PARTS)
     return _encoders[path]
