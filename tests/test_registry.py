@@ -9,6 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, differences
+from skyfare.registry.oracle import ORACLE
+from skyfare.registry.queries import QUERIES
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 
@@ -19,7 +21,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
@@ -28,9 +31,9 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", plan)
-    assert differences(df, con, entry.oracle_sql()[name]) == []
+    assert differences(df, con, ORACLE[name]) == []
