@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection, Iterable
 from typing import Literal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfare import schemas
@@ -14,15 +14,19 @@ from skyfare.operators.conform import (
     conform_trips,
     missing_required,
     union_feeds,
+    with_pickup_calendar,
+    with_valid_measures,
+    with_valid_times,
 )
 from skyfare.operators.enrich import broadcast_fits, enrich_trips
 from skyfare.operators.metrics import daily_metrics
 from skyfare.operators.quality import quality_report, require_quality
 from skyfare.operators.readings import flatten_readings, normalize_readings
-from skyfare.sources.files import table_bytes
+from skyfare.sources.files import partition_values, table_bytes
 from skyfare.sources.landing import land_missing_months, land_new_days
 from skyfare.sources.settings import sized_shuffles
 from skyfare.sources.tables import (
+    drop_emptied_partitions,
     scan_if_exists,
     scan_layer,
     scan_raw_trips,
@@ -74,35 +78,63 @@ def build_trips(
     first_month: str | None = None,
     last_month: str | None = None,
     replace: Replace = "table",
+    first_day: str | None = None,
+    last_day: str | None = None,
 ) -> str:
-    """Raw months of all wanted feeds to the clean trip table.
+    """Raw months of all wanted feeds to the clean trip table, of all pickup days or of a window.
 
     The whole table is replaced, other feeds included, unless ``replace`` is
-    ``"partitions"``. That mode takes whole feeds only: a monthly file also holds
-    trips of days outside its month, so a few months cannot stand for the days
-    they touch. A month whose files lack a column that cleaning needs is an
-    error: all of its rows would vanish.
+    ``"partitions"``: then other feeds and days outside the window stay, and days
+    of the window that have no trip any more go. That mode takes all months: a
+    monthly file also holds trips of days outside its month, so a few months
+    cannot stand for the days they touch. Where the files hold real timestamps,
+    a window reaches the scan, which skips the row groups of other days. A month
+    whose files lack a column that cleaning needs is an error: all of its rows
+    would vanish.
     """
     if replace == "partitions" and (first_month or last_month):
         raise ValueError("replacing partitions takes all months of a feed")
-    frames = scan_raw_trips(spark, source, taxi_types, first_month, last_month)
+    feeds = None if taxi_types is None else list(taxi_types)
+    frames = scan_raw_trips(spark, source, feeds, first_month, last_month)
     for frame in frames:
         absent = missing_required(frame)
         if absent:
             raise ValueError(f"raw trips under {source} lack {absent}, columns are {frame.columns}")
     conformed = union_feeds([conform_trips(frame, F.col("taxi_type")) for frame in frames])
+    if first_day is not None:
+        conformed = conformed.filter(F.col("pickup_datetime") >= F.lit(first_day).cast("timestamp_ntz"))
+    if last_day is not None:
+        after = F.date_add(F.lit(last_day).cast("date"), 1).cast("timestamp_ntz")
+        conformed = conformed.filter(F.col("pickup_datetime") < after)
     with sized_shuffles(spark, table_bytes(spark, source)):
-        return write_layer(clean_conformed(conformed), target, schemas.TRIPS_PARTITIONS, replace)
+        write_layer(clean_conformed(conformed), target, schemas.TRIPS_PARTITIONS, replace)
+    if replace == "partitions":
+        # deduplication empties no day, so the days are those before it, found without its shuffle
+        valid = with_pickup_calendar(with_valid_measures(with_valid_times(conformed)))
+        wanted = _inside(F.col("pickup_date").try_cast("date"), first_day, last_day)
+        if feeds is not None:
+            wanted &= F.col("taxi_type").isin(feeds)
+        drop_emptied_partitions(spark, target, valid.select(*schemas.TRIPS_PARTITIONS), wanted)
+    return target
 
 
 def build_readings(
-    spark: SparkSession, documents: DataFrame, target: str, replace: Replace = "table"
+    spark: SparkSession,
+    documents: DataFrame,
+    target: str,
+    replace: Replace = "table",
+    first_day: str | None = None,
+    last_day: str | None = None,
 ) -> str:
-    """Reading documents to the typed hourly table; no reading at all is an error."""
+    """Reading documents to the typed hourly table, of all days or of a window; no reading at all is an error."""
     rows = flatten_readings(documents)
     if rows.isEmpty():
         raise FileNotFoundError("the reading documents hold no reading")
-    return write_layer(normalize_readings(rows), target, schemas.READINGS_PARTITIONS, replace)
+    readings = _days(normalize_readings(rows), "date", first_day, last_day)
+    write_layer(readings, target, schemas.READINGS_PARTITIONS, replace)
+    if replace == "partitions":
+        _drop_emptied_days(spark, target, readings.select("date"), first_day, last_day)
+    return target
 
 
 def build_enriched(
@@ -118,16 +150,18 @@ def build_enriched(
 
     Trips come off a table that is already partitioned by day, and a broadcast
     join leaves them where they are, so they are written as they lie. Only the
-    shuffle join beyond the broadcast bound has to gather the days again.
+    shuffle join beyond the broadcast bound has to gather the days again. With
+    ``replace="partitions"``, days of the window that have no trip any more go.
     """
     trip_table = _days(scan_layer(spark, trips, schemas.TRIPS), "pickup_date", first_day, last_day)
     reading_table = _days(scan_layer(spark, readings, schemas.READINGS), "date", first_day, last_day)
     unmoved = broadcast_fits(reading_table)
     enriched = enrich_trips(trip_table, reading_table, broadcast_readings=unmoved)
     with sized_shuffles(spark, table_bytes(spark, trips)):
-        return write_layer(
-            enriched, target, schemas.ENRICHED_PARTITIONS, replace, cluster=not unmoved
-        )
+        write_layer(enriched, target, schemas.ENRICHED_PARTITIONS, replace, cluster=not unmoved)
+    if replace == "partitions":
+        _drop_emptied_days(spark, target, partition_values(spark, trips, "pickup_date"), first_day, last_day)
+    return target
 
 
 def build_daily(
@@ -138,19 +172,40 @@ def build_daily(
     last_day: str | None = None,
     replace: Replace = "table",
 ) -> str:
-    """Enriched trips to the daily table, of all days or of a window."""
+    """Enriched trips to the daily table, of all days or of a window.
+
+    With ``replace="partitions"``, days of the window that have no trip any more go.
+    """
     trips = scan_layer(spark, enriched, schemas.ENRICHED)
     metrics = daily_metrics(_days(trips, "pickup_date", first_day, last_day))
-    return write_layer(metrics, target, schemas.DAILY_PARTITIONS, replace)
+    write_layer(metrics, target, schemas.DAILY_PARTITIONS, replace)
+    if replace == "partitions":
+        days = partition_values(spark, enriched, "pickup_date").withColumnRenamed("pickup_date", "date")
+        _drop_emptied_days(spark, target, days, first_day, last_day)
+    return target
 
 
-def _days(df: DataFrame, column: str, first: str | None, last: str | None) -> DataFrame:
-    """The partitions of an inclusive window of days; the others are not read."""
+def _inside(day: Column, first: str | None, last: str | None) -> Column:
+    """Whether a day lies in an inclusive window that may be open at either end."""
+    inside = F.lit(True)
     if first is not None:
-        df = df.filter(F.col(column) >= F.lit(first).cast("date"))
+        inside &= day >= F.lit(first).cast("date")
     if last is not None:
-        df = df.filter(F.col(column) <= F.lit(last).cast("date"))
-    return df
+        inside &= day <= F.lit(last).cast("date")
+    return inside
+
+
+def _days(df: DataFrame, column: str, first: str | None, last: str | None) -> DataFrame:
+    """The partitions of an inclusive window of days; the others are not read."""
+    return df.filter(_inside(F.col(column), first, last))
+
+
+def _drop_emptied_days(
+    spark: SparkSession, target: str, kept: DataFrame, first: str | None, last: str | None
+) -> None:
+    """Remove the days of a window that are not in ``kept``, whose one column is the table's day."""
+    day = F.col(kept.columns[0]).try_cast("date")
+    drop_emptied_partitions(spark, target, kept, _inside(day, first, last))
 
 
 def check_layers(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -189,9 +244,16 @@ def run_pipeline(
     today: str,
     skip_steps: Collection[str] = (),
     raw_readings_format: Literal["parquet", "json"] = "parquet",
+    replace: Replace = "table",
+    first_day: str | None = None,
+    last_day: str | None = None,
 ) -> list[str]:
     """All steps in order but the skipped ones; returns the names of those that ran.
 
+    By default every table is replaced. With ``replace="partitions"`` only the
+    days from ``first_day`` to ``last_day`` are built anew, in all tables; trips
+    of other feeds and of other days stay, and days without rows go.
+
     A skipped step leaves its table as an earlier run wrote it. The two landing
     steps copy from the landing folders; ``raw_readings_format="json"`` serves a
     folder of raw documents that something else filled. A failed quality rule
@@ -209,6 +271,9 @@ def run_pipeline(
             raise FileNotFoundError(f"no landed reading documents under {layout.raw_readings}")
         return landed
 
+    if replace == "table" and (first_day or last_day):
+        raise ValueError('a window of days is built with replace="partitions"')
+    window = {"replace": replace, "first_day": first_day, "last_day": last_day}
     actions = {
         "bronze_tlc": lambda: land_missing_months(
             spark, landing_trips, layout.raw_trips, taxi_type, start_month, end_month
@@ -216,12 +281,12 @@ def run_pipeline(
         "bronze_weather": lambda: land_new_days(
             spark, landing_readings, layout.raw_readings, start_date, end_date, today
         ),
-        "silver_trips": lambda: build_trips(spark, layout.raw_trips, layout.trips, [taxi_type]),
-        "silver_weather": lambda: build_readings(spark, documents(), layout.readings),
+        "silver_trips": lambda: build_trips(spark, layout.raw_trips, layout.trips, [taxi_type], **window),
+        "silver_weather": lambda: build_readings(spark, documents(), layout.readings, **window),
         "silver_enriched": lambda: build_enriched(
-            spark, layout.trips, layout.readings, layout.enriched
+            spark, layout.trips, layout.readings, layout.enriched, **window
         ),
-        "gold_daily_metrics": lambda: build_daily(spark, layout.enriched, layout.daily),
+        "gold_daily_metrics": lambda: build_daily(spark, layout.enriched, layout.daily, **window),
         "quality": lambda: require_layers(spark, layout),
     }
     executed = [step for step in STEPS if step not in skip_steps]

@@ -152,9 +152,12 @@ def write_monthly(feed: DataFrame, taxi_type: str, pickup: str, root: str) -> No
     )
 
 
-def write_ride_months(spark: SparkSession, sf_dir: str, root: str) -> str:
+def write_ride_months(spark: SparkSession, sf_dir: str, root: str, without: str | None = None) -> str:
+    """Land the rides of all feeds, but for those of one day if it is named."""
     for taxi_type, feed in ride_feeds(spark, sf_dir).items():
         pickup = FEED_NAMES[taxi_type].get("pickup_datetime", "pickup_datetime")
+        if without is not None:
+            feed = feed.filter(F.to_date(pickup) != F.lit(without).cast("date"))
         write_monthly(feed, taxi_type, pickup, root)
     return root
 

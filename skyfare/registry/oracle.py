@@ -110,6 +110,17 @@ enriched AS (
   FROM clean LEFT JOIN flat ON pickup_date = date AND pickup_hour = hour
 )"""
 
+UNMATCHED = CONFORMED_SHIPPED + "," + READINGS + f""",
+clean AS (
+  SELECT *, CAST(pickup_datetime AS DATE) AS pickup_date, CAST(hour(pickup_datetime) AS INTEGER) AS pickup_hour
+  FROM conformed WHERE {VALID} {KEEP_ONE}
+),
+enriched AS (
+  SELECT clean.* REPLACE (CASE WHEN dayofweek(pickup_date) <> 0 THEN payment_type END AS payment_type),
+         temperature_2m, precipitation
+  FROM clean LEFT JOIN readings ON pickup_date = date AND pickup_hour = hour
+)"""
+
 RATIO = "total_amount / greatest(coalesce(trip_distance, 0.1), 0.1)"
 
 
@@ -286,6 +297,9 @@ QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE), hour(ts)
     "clean_trips": f"""WITH {CONFORMED_SHIPPED}
 SELECT {TRIP_COLUMNS}, {CALENDAR} FROM (SELECT * FROM conformed WHERE {VALID} {KEEP_ONE})""",
     "enrich_hourly": f"""WITH {ENRICHED}
+SELECT event_id, CAST(pickup_date AS VARCHAR) AS pickup_date, pickup_hour, fare_amount, total_amount,
+       trip_distance, payment_type, temperature_2m, precipitation, windspeed_10m FROM enriched""",
+    "enrich_hourly_shuffled": f"""WITH {ENRICHED}
 SELECT event_id, CAST(pickup_date AS VARCHAR) AS pickup_date, pickup_hour, fare_amount, total_amount,
        trip_distance, payment_type, temperature_2m, precipitation, windspeed_10m FROM enriched""",
     "daily_trip_metrics": f"""WITH {TRIPS}
@@ -309,6 +323,7 @@ SELECT CAST(pickup_date AS VARCHAR) AS pickup_date, round(avg(temperature_2m) +
 FROM (SELECT DISTINCT pickup_date, pickup_hour, temperature_2m, precipitation FROM enriched)
 GROUP BY pickup_date""",
     "daily_metrics": _daily(ENRICHED),
+    "daily_metrics_unmatched": _daily(UNMATCHED),
     "daily_no_payment": _daily(ENRICHED, payments=False),
     "quality_row_count": _report(
         "unmatched AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))",
@@ -409,5 +424,6 @@ JOIN (SELECT count(*) AS row_count FROM events) ON TRUE""",
     "job_readings": f"WITH {DOCUMENTS} SELECT {_TYPED_READINGS} FROM flat",
     "job_enriched": f"WITH {ENRICHED_RIDES} SELECT {_ENRICHED_TRIP} FROM enriched",
     "job_daily": _daily(ENRICHED_RIDES),
+    "job_incremental": _daily(ENRICHED_RIDES, where="pickup_date <> DATE '2024-01-09'"),
     "job_full": _daily(ENRICHED_RIDES, where="taxi_type = 'yellow'"),
 }

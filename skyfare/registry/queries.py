@@ -108,8 +108,9 @@ def union_trip_types(spark, sf_dir):
 
 
 def _clock_text(layout):
-    """Event times as text in ``layout``; errors have no readable time."""
-    return F.when(F.col("event_type") == "error", "n/a").otherwise(layout)
+    """Event times as text in ``layout``; errors have no readable time, or one without a date."""
+    unreadable = F.when(F.col("event_id") % 2 == 0, "n/a").otherwise(F.date_format("ts", "HH:mm"))
+    return F.when(F.col("event_type") == "error", unreadable).otherwise(layout)
 
 
 @query
@@ -227,6 +228,13 @@ def enrich_hourly(spark, sf_dir):
     return _enriched(spark, sf_dir)
 
 
+@query
+def enrich_hourly_shuffled(spark, sf_dir):
+    """The join beyond the broadcast bound: salted, and with the same result."""
+    trips = inputs.hourly_trips(spark, sf_dir)
+    return enrich.enrich_trips(trips, inputs.hourly_readings(spark, sf_dir), broadcast_readings=False)
+
+
 @query
 def daily_trip_metrics(spark, sf_dir):
     days = metrics.daily_trip_metrics(inputs.hourly_trips(spark, sf_dir))
@@ -255,6 +263,15 @@ def daily_metrics(spark, sf_dir):
     return _daily(metrics.daily_metrics(_enriched(spark, sf_dir)))
 
 
+@query
+def daily_metrics_unmatched(spark, sf_dir):
+    """Shipped trips long before the readings: no day has weather, and Sundays no payment type."""
+    trips = conform.clean_conformed(conform.conform_trips(inputs.shipped_trips(spark, sf_dir), F.col("taxi_type")))
+    paid = F.when(F.dayofweek("pickup_date") != 1, F.col("payment_type"))
+    trips = trips.withColumn("payment_type", paid)
+    return _daily(metrics.daily_metrics(enrich.enrich_trips(trips, inputs.hourly_readings(spark, sf_dir))))
+
+
 @query
 def daily_no_payment(spark, sf_dir):
     return _daily(metrics.daily_metrics(_enriched(spark, sf_dir).drop("payment_type")))
@@ -571,6 +588,19 @@ def job_daily(spark, sf_dir):
     return _daily(tables.scan_layer(spark, layout.daily, schemas.DAILY))
 
 
+@query
+def job_incremental(spark, sf_dir):
+    """All days, then three of them again from raw months that lost one day's trips."""
+    layout = _build_enriched(spark, sf_dir, "job-incremental")
+    jobs.build_daily(spark, layout.enriched, layout.daily)
+    changed = inputs.write_ride_months(spark, sf_dir, scratch_path(spark, "changed"), without="2024-01-09")
+    window = {"first_day": "2024-01-08", "last_day": "2024-01-10", "replace": "partitions"}
+    jobs.build_trips(spark, changed, layout.trips, **window)
+    jobs.build_enriched(spark, layout.trips, layout.readings, layout.enriched, **window)
+    jobs.build_daily(spark, layout.enriched, layout.daily, **window)
+    return _daily(tables.scan_layer(spark, layout.daily, schemas.DAILY))
+
+
 @query
 def job_full(spark, sf_dir):
     """All seven steps for the yellow feed, from landing folders to the quality gate."""

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfare.sources.settings import setting
-
 # The columns a binaryFile scan has besides the partition columns.
 _FILE_COLUMNS = ("path", "modificationTime", "length", "content")
 
@@ -20,18 +18,23 @@ def list_partitions(spark: SparkSession, root: str) -> DataFrame | None:
     held as a small table: its length is that of the calendar, not of the data.
     """
     listed = _per_directory(spark, root)
-    return None if listed is None else spark.createDataFrame(_rows(spark, listed), listed.schema)
+    return None if listed is None else spark.createDataFrame(sorted(listed.collect()), listed.schema)
 
 
 def table_bytes(spark: SparkSession, root: str) -> int:
     """Total size of a table's files; 0 if there are none."""
     listed = _per_directory(spark, root)
-    return 0 if listed is None else sum(row.bytes for row in _rows(spark, listed))
+    return 0 if listed is None else listed.agg(F.sum("bytes").alias("bytes")).first().bytes or 0
 
 
 def _per_directory(spark: SparkSession, root: str) -> DataFrame | None:
+    # Contents are not read, so splits need not be small: without this a large
+    # table would be listed by as many tasks as it takes to scan it. The setting
+    # is that of a session of its own, so other queries never see it.
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", "1t")
     try:
-        files = spark.read.format("binaryFile").load(root)
+        files = own.read.format("binaryFile").load(root)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -57,13 +60,6 @@ def _unescaped(value: Column) -> Column:
     return F.coalesce(plain, value)
 
 
-def _rows(spark: SparkSession, listed: DataFrame) -> list[Row]:
-    # Contents are not read, so splits need not be small: without this a large
-    # table would be listed by as many tasks as it takes to scan it.
-    with setting(spark, "spark.sql.files.maxPartitionBytes", "1t"):
-        return sorted(listed.collect())
-
-
 def partition_values(spark: SparkSession, root: str, column: str) -> DataFrame:
     """The sorted distinct values of one partition column; empty without a table."""
     partitions = list_partitions(spark, root)

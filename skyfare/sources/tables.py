@@ -8,7 +8,7 @@ from typing import Literal
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,7 +136,8 @@ def write_layer(
     """Write a partitioned Parquet table and return its path.
 
     ``replace="table"`` leaves nothing of an earlier table; ``"partitions"``
-    replaces only the partitions that ``df`` has rows for. ``cluster`` gathers
+    replaces only the partitions that ``df`` has rows for (those it has none
+    for are left to ``drop_emptied_partitions``). ``cluster`` gathers
     each partition's rows before the write so that files stay few. The
     rebalance hint lets adaptive execution split a partition that is far larger
     than the others over several tasks, and put small ones together. A frame
@@ -152,3 +153,23 @@ def write_layer(
         .parquet(path)
     )
     return path
+
+
+def drop_emptied_partitions(spark: SparkSession, path: str, kept: DataFrame, wanted: Column) -> list[str]:
+    """Delete the wanted partitions of a table that ``kept`` does not name; returns their directories.
+
+    ``kept`` has the table's partition columns. Replacing partitions leaves
+    those alone that got no row, so one that lost all of its rows would keep
+    the old ones. ``wanted`` is a condition on the partition values as text.
+    What is listed grows with the calendar, not with the rows.
+    """
+    stored = list_partitions(spark, path)
+    if stored is None or not set(kept.columns) <= set(stored.columns):
+        return []
+    named = kept.select(*[F.col(name).cast("string").alias(name) for name in kept.columns]).distinct()
+    emptied = stored.filter(wanted).join(named, kept.columns, "left_anti")
+    directories = [r.directory for r in emptied.orderBy("directory").collect()]
+    for directory in directories:
+        place = spark._jvm.org.apache.hadoop.fs.Path(directory)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    return directories

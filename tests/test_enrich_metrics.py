@@ -17,10 +17,23 @@ ENRICHED = TRIPS + ", payment_type bigint, temperature_2m double, precipitation
 
 
 def test_left_join_keeps_unmatched_trips(spark):
-    trips = spark.createDataFrame([(DAY, 0, 10.0, 12.0, 2.0), (DAY, 2, 20.0, 25.0, 3.0)], TRIPS)
-    weather = spark.createDataFrame([(DAY, 0, 5.0, 0.2, 10.0)], WEATHER)
-    rows = enrich_trips(trips, weather).orderBy("pickup_hour").collect()
-    assert [r.temperature_2m for r in rows] == [5.0, None]
+    """Hours 7 to 9 of two days: the middle hour has no reading, the second day only that one."""
+    following = date(2024, 1, 2)
+    trips = spark.createDataFrame([(d, h, 6.5, 9.0, 1.25) for d in (DAY, following) for h in (7, 8, 9)], TRIPS)
+    weather = spark.createDataFrame(
+        [(DAY, 7, -3.0, None, 4.0), (DAY, 9, 1.5, 0.75, 0.0), (following, 8, 2.0, 0.0, 6.0)], WEATHER
+    )
+    rows = enrich_trips(trips, weather).orderBy("pickup_date", "pickup_hour").collect()
+    assert [r.temperature_2m for r in rows] == [-3.0, None, 1.5, None, 2.0, None]
+    assert [r.precipitation for r in rows] == [None, None, 0.75, None, 0.0, None]
+
+
+@pytest.mark.parametrize("broadcast_readings", [True, False])
+def test_trips_may_hold_a_map(spark, broadcast_readings):
+    trips = spark.createDataFrame([(DAY, 7, 1.0, 1.0, 1.0)], TRIPS).selectExpr("*", "map('a', 1) AS extras")
+    weather = spark.createDataFrame([(DAY, 7, 4.0, 0.0, 2.0)], WEATHER)
+    (row,) = enrich_trips(trips, weather, broadcast_readings).collect()
+    assert (row.extras, row.temperature_2m) == ({"a": 1}, 4.0)
 
 
 @pytest.mark.parametrize("broadcast_readings", [None, True, False])
@@ -52,21 +65,30 @@ def test_broadcast_is_bounded_by_distinct_hours(spark):
 
 
 def test_daily_metrics_expected_values(spark):
+    """Two trips share an hour and its rain, one has no distance, and a second day stands apart."""
+    following = date(2024, 1, 2)
     enriched = spark.createDataFrame(
-        [(DAY, 0, 10.0, 12.0, 2.0, 1, 10.0, 1.0), (DAY, 1, 20.0, 24.0, 4.0, 2, 14.0, 0.5)], ENRICHED
+        [
+            (DAY, 7, 5.0, 8.0, 4.0, 3, 6.0, 0.5),
+            (DAY, 7, 7.0, 9.0, 0.0, None, 6.0, 0.5),
+            (DAY, 8, None, 1.0, 2.0, 3, -2.0, None),
+            (following, 23, 2.0, 3.0, 12.0, 4, None, 0.25),
+        ],
+        ENRICHED,
     )
-    (row,) = metrics.daily_metrics(enriched).collect()
-    assert row.asDict() == {
+    first, second = metrics.daily_metrics(enriched).orderBy("date").collect()
+    assert first.asDict() == {
         "date": DAY,
-        "total_trips": 2,
-        "avg_fare_amount": 15.0,
-        "avg_total_amount": 18.0,
-        "avg_trip_distance": 3.0,
-        "surge_proxy": 6.0,
-        "avg_temp": 12.0,
-        "total_precip": 1.5,
-        "payment_type_counts": {"1": 1, "2": 1},
+        "total_trips": 3,
+        "avg_fare_amount": 6.0,
+        "avg_total_amount": 6.0,
+        "avg_trip_distance": 2.0,
+        "surge_proxy": pytest.approx((2.0 + 90.0 + 0.5) / 3),
+        "avg_temp": 2.0,
+        "total_precip": 0.5,
+        "payment_type_counts": {"3": 2},
     }
+    assert tuple(second) == (following, 1, 2.0, 3.0, 12.0, 0.25, None, 0.25, {"4": 1})
 
 
 def test_day_without_weather_or_payment(spark):

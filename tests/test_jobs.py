@@ -103,6 +103,52 @@ def test_rebuilding_a_window_of_days(spark, landing_zone, tmp_path):
         jobs.build_trips(spark, landing_zone.raw_trips, layout.trips, None, "2024-01", None, "partitions")
 
 
+def test_incremental_run_keeps_feeds_and_drops_empty_days(spark, landing_zone, tmp_path):
+    layout = jobs.Layout(str(tmp_path / "tables"))
+    jobs.build_trips(spark, landing_zone.raw_trips, layout.trips)
+    documents = tables.scan_reading_documents(spark, landing_zone.raw_readings)
+    jobs.build_readings(spark, documents, layout.readings)
+    jobs.build_enriched(spark, layout.trips, layout.readings, layout.enriched)
+    jobs.build_daily(spark, layout.enriched, layout.daily)
+
+    def counts():
+        return {
+            (str(r.pickup_date), r.taxi_type): r["count"]
+            for r in tables.scan_layer(spark, layout.trips, schemas.TRIPS).groupBy("pickup_date", "taxi_type").count().collect()
+        }
+
+    before = counts()
+    lost = "2024-01-03"
+    others = {k: n for k, n in before.items() if k[0] != lost}
+    raw = inputs.write_ride_months(spark, SF_DIR, str(tmp_path / "changed"), without=lost)
+    window = {"replace": "partitions", "first_day": "2024-01-02", "last_day": "2024-01-04"}
+
+    # one feed: the others keep the day
+    jobs.build_trips(spark, raw, layout.trips, ["yellow"], **window)
+    assert counts() == {k: n for k, n in before.items() if k != (lost, "yellow")}
+
+    # all feeds: the day leaves every table
+    jobs.build_trips(spark, raw, layout.trips, **window)
+    jobs.build_enriched(spark, layout.trips, layout.readings, layout.enriched, **window)
+    jobs.build_daily(spark, layout.enriched, layout.daily, **window)
+    assert counts() == others
+    days = {k[0] for k in others}
+    enriched = tables.scan_layer(spark, layout.enriched, schemas.ENRICHED)
+    assert {str(r.pickup_date) for r in enriched.select("pickup_date").distinct().collect()} == days
+    daily = tables.scan_layer(spark, layout.daily, schemas.DAILY).collect()
+    assert {str(r.date): r.total_trips for r in daily} == {d: sum(n for k, n in others.items() if k[0] == d) for d in days}
+
+
+def test_incremental_run_of_all_steps(spark, landing_zone, tmp_path):
+    layout = jobs.Layout(str(tmp_path))
+    run(spark, layout, landing_zone)
+    whole = _map_free(tables.scan_layer(spark, layout.daily, schemas.DAILY))
+    run(spark, layout, landing_zone, replace="partitions", first_day="2024-01-02", last_day="2024-01-03")
+    assert _map_free(tables.scan_layer(spark, layout.daily, schemas.DAILY)) == whole
+    with pytest.raises(ValueError, match="window"):
+        run(spark, layout, landing_zone, first_day="2024-01-02")
+
+
 def _map_free(daily):
     counts = F.array_sort(F.map_entries("payment_type_counts")).cast("string")
     rounded = [F.round(c, 6).alias(c) for c in ("avg_fare_amount", "surge_proxy", "avg_temp", "total_precip")]
