@@ -345,17 +345,20 @@ GROUP BY pickup_date""",
         _least(3, "trips", "conformed", "fare_amount", 0.0),
         _most(4, "trips", "conformed", "fare_amount", 100000.0),
         _absent(5, "trips", "min_value tip_amount", 0.0, "tip_amount"),
+        _rule(6, "trips", "max_value tip_amount", "NULL", 9.0, "NULL"),
+        _absent(7, "trips", "column toll_amount", 0.0, "toll_amount"),
     ),
     "uniqueness_ratio": _report(
         "",
         _unique(1, "lineitem", "lineitem", ["l_orderkey", "l_linenumber"], 0.995),
         _rule(2, "lineitem", "unique_ratio", "NULL", 0.995,
               "'lineitem: missing uniqueness key columns [''l_batch'']'"),
+        _unique(3, "lineitem", "lineitem", ["l_suppkey", "l_linenumber"], 0.995),
     ),
     "quality_report": f"""WITH {CLEAN_RIDES}, {READINGS},
 daily AS (SELECT pickup_date, count(*) AS total_trips, avg(fare_amount) AS avg_fare_amount
           FROM clean GROUP BY pickup_date)
-SELECT * EXCLUDE (message) REPLACE (round(observed + 1.37e-7, 4) AS observed) FROM (
+SELECT * REPLACE (round(observed + 1.37e-7, 4) AS observed) FROM (
 """ + "\nUNION ALL\n".join(
         [
             *_trip_rules(),

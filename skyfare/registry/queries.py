@@ -306,7 +306,8 @@ def value_ranges(spark, sf_dir):
     rules = [
         *quality.value_range("trip_distance", low=0.0, high=40.0),
         *quality.value_range("fare_amount", low=0.0, high=100000.0),
-        *quality.value_range("tip_amount", low=0.0),
+        *quality.value_range("tip_amount", low=0.0, high=9.0),
+        *quality.value_range("toll_amount"),
     ]
     return quality.check_table(trips, "trips", rules)
 
@@ -316,6 +317,7 @@ def uniqueness_ratio(spark, sf_dir):
     rules = [
         quality.UniqueRatio(columns=("l_orderkey", "l_linenumber"), threshold=0.995),
         quality.UniqueRatio(columns=("l_orderkey", "l_batch"), threshold=0.995),
+        quality.UniqueRatio(columns=("l_suppkey", "l_linenumber"), threshold=0.995),
     ]
     return quality.check_table(inputs.table(spark, sf_dir, "lineitem"), "lineitem", rules)
 
@@ -329,7 +331,7 @@ def quality_report(spark, sf_dir):
     """The standard rules on the stored tables of all rides."""
     layout = _build_enriched(spark, sf_dir, "quality")
     jobs.build_daily(spark, layout.enriched, layout.daily)
-    return _rounded(jobs.check_layers(spark, layout), "observed").drop("message")
+    return _rounded(jobs.check_layers(spark, layout), "observed")
 
 
 @query
