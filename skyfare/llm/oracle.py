@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
     "op2_nearest_neighbours": """
         WITH v AS (
@@ -19,4 +21,65 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    # sets of shingles, links between distinct sets, and what links lead to
+    "op5_ngram_jaccard_join": rf"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), placed AS (
+            SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM worded WHERE len(w) > 0
+        ), grams AS (
+            SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS gram FROM placed
+        ), sets AS (
+            SELECT doc_id, list(gram ORDER BY gram) AS grams FROM grams GROUP BY doc_id
+        ), classes AS MATERIALIZED (
+            SELECT grams, min(doc_id) AS node, len(grams) AS n FROM sets GROUP BY grams
+        ), cells AS MATERIALIZED (
+            SELECT node, n, unnest(grams) AS gram FROM classes
+        ), links AS MATERIALIZED (
+            SELECT a.node AS a, b.node AS b
+            FROM cells a JOIN cells b ON a.gram = b.gram AND a.node <> b.node
+            GROUP BY a.node, a.n, b.node, b.n
+            HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reached (node, other) AS (
+            SELECT node, node FROM classes
+            UNION
+            SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.other
+        ), named AS (
+            SELECT node, min(other) AS component FROM reached GROUP BY node
+        )
+        SELECT d.doc_id, coalesce(len(s.grams), 0) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id
+        FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id
+        LEFT JOIN classes c ON c.grams = s.grams LEFT JOIN named m ON m.node = c.node
+    """,
+    # windows of the items, looked up at every word of every document
+    "op9_benchmark_decontamination": rf"""
+        WITH worded AS MATERIALIZED (
+            SELECT row_number() OVER () AS row_id, doc_id,
+                   regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), items AS (
+            SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), placed AS (
+            SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k
+            FROM items WHERE len(w) > 0
+        ), windows AS MATERIALIZED (
+            SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS words FROM placed
+        ), starts AS (
+            SELECT row_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+            FROM worded, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+        ), found AS MATERIALIZED (
+            SELECT s.row_id, s.k, s.n, i.item_id
+            FROM (SELECT row_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS words FROM starts) s
+            JOIN windows i USING (n, words)
+        ), covered AS (
+            SELECT row_id, count(DISTINCT word) AS n_hit
+            FROM (SELECT row_id, unnest(range(k, k + n)) AS word FROM found) GROUP BY row_id
+        ), matched AS (
+            SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+            FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item FROM found) GROUP BY row_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM worded LEFT JOIN covered USING (row_id) LEFT JOIN matched USING (row_id)
+    """,
 }
