@@ -232,16 +232,33 @@ def test_stream_lands_each_document_once(spark, tmp_path):
     source, target, state = tmp_path / "landing", str(tmp_path / "bronze"), str(tmp_path / "state")
     put(source, "2024-01-01", 0)
     put(source, "2024-01-02", 0)
-    land_available(spark, str(source), target, state)
+    land = lambda: land_available(spark, str(source), target, state)
+    assert land() == (2, [])
     assert landed(spark, target) == [1, 2]
-    land_available(spark, str(source), target, state)
+    assert land() == (0, [])
     assert landed(spark, target) == [1, 2]
     put(source, "2024-01-03", 0)
     put(source, "2024-01-01", 5)  # late, for an old day
-    land_available(spark, str(source), target, state)
+    assert land() == (2, [])
     assert landed(spark, target) == [1, 1, 2, 3]
 
 
+def test_stream_lands_good_documents_beside_broken_ones(spark, tmp_path):
+    source, target, state = tmp_path / "landing", str(tmp_path / "bronze"), str(tmp_path / "state")
+    put(source, "2024-01-01", 0)
+    put(source, "2024-01-03", 0)
+    (source / "date=2024-01-02").mkdir()
+    (source / "date=2024-01-02" / "weather-0.json").write_text('{"hourly": {"time": ["2024-01-02T')
+    found = land_available(spark, str(source), target, state)
+    assert found.documents == 2
+    assert [name[-30:] for name in found.broken] == ["date=2024-01-02/weather-0.json"]
+    assert landed(spark, target) == [1, 3]
+    assert land_available(spark, str(source), target, state) == (0, [])
+    put(source, "2024-01-02", 1)  # mended
+    assert land_available(spark, str(source), target, state) == (1, [])
+    assert landed(spark, target) == [1, 2, 3]
+
+
 def test_given_endpoint(spark):
     df = spark.createDataFrame([(date(2024, 1, 1),)], "date date")
     row = landing.tag_provenance(df, "archive").first()
