@@ -124,12 +124,16 @@ def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ride_feeds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def ride_feeds(spark: SparkSession, sf_dir: str, months: int = 1) -> dict[str, DataFrame]:
     """The rides of each feed, delivered twice, as raw monthly files hold them.
 
     The feeds disagree on a type: hired cars give the payment type as a double.
+    With ``months``, the pickups are dealt over so many months by vendor.
     """
     trips = delivered_twice(rides(spark, sf_dir))
+    if months > 1:
+        later = F.make_ym_interval(F.lit(0), (F.col("vendor_id") % months).cast("int"))
+        trips = trips.withColumn("pickup_datetime", F.col("pickup_datetime") + later)
     feeds = {name: as_feed(trips, name) for name in FEED_NAMES}
     feeds["hired"] = feeds["hired"].withColumn("payment_type", F.col("payment_type").cast("double"))
     return feeds
@@ -152,9 +156,11 @@ def write_monthly(feed: DataFrame, taxi_type: str, pickup: str, root: str) -> No
     )
 
 
-def write_ride_months(spark: SparkSession, sf_dir: str, root: str, without: str | None = None) -> str:
+def write_ride_months(
+    spark: SparkSession, sf_dir: str, root: str, without: str | None = None, months: int = 1
+) -> str:
     """Land the rides of all feeds, but for those of one day if it is named."""
-    for taxi_type, feed in ride_feeds(spark, sf_dir).items():
+    for taxi_type, feed in ride_feeds(spark, sf_dir, months).items():
         pickup = FEED_NAMES[taxi_type].get("pickup_datetime", "pickup_datetime")
         if without is not None:
             feed = feed.filter(F.to_date(pickup) != F.lit(without).cast("date"))

@@ -406,6 +406,10 @@ FROM readings GROUP BY date""",
 SELECT DISTINCT CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) AS fetched_for_date,
        'date=' || date AS folder FROM readings""",
     "scan_trips": f"WITH {RIDES} SELECT {TRIP_COLUMNS} FROM rides WHERE taxi_type IN ('yellow', 'hired')",
+    "scan_trips_window": f"""WITH {RIDES},
+moved AS (SELECT * REPLACE (pickup_datetime + to_months(vendor_id % 4) AS pickup_datetime) FROM rides)
+SELECT {TRIP_COLUMNS} FROM moved
+WHERE pickup_datetime >= TIMESTAMP '2024-02-01' AND pickup_datetime < TIMESTAMP '2024-04-01'""",
     "partition_values": f"WITH {RIDES} SELECT DISTINCT taxi_type FROM rides",
     "scan_readings": f"""WITH {DOCUMENTS}
 SELECT CAST(date AS VARCHAR) AS date, CAST(count(*) AS INTEGER) AS times,

@@ -483,6 +483,14 @@ def scan_trips(spark, sf_dir):
     return conform.union_feeds([conform.conform_trips(f, F.col("taxi_type")) for f in frames])
 
 
+@query
+def scan_trips_window(spark, sf_dir):
+    """Two months of all feeds, read from a table that holds four."""
+    root = inputs.write_ride_months(spark, sf_dir, scratch_path(spark, "months"), months=4)
+    frames = tables.scan_raw_trips(spark, root, first_month="2024-02", last_month="2024-03")
+    return conform.union_feeds([conform.conform_trips(f, F.col("taxi_type")) for f in frames])
+
+
 @query
 def partition_values(spark, sf_dir):
     root = inputs.write_ride_months(spark, sf_dir, scratch_path(spark, "months"))
