@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -51,12 +52,49 @@ APART = frozenset("aside button dialog fieldset footer form menu nav search".spl
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 APART_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+_NAMES = (
+    r"ads?|advert\w*|banner|breadcrumbs?|consent|cookies?|footer|header|hidden|login|masthead|menu|modal|nav|navbar|"
+    r"navigation|newsletter|notices?|notification|pagination|popup|promo\w*|related|share|sharing|sidebar|signup|social|"
+    r"sponsor\w*|subscribe|toolbar|widgets?"
+)
+_REPLIES = r"comments?|comment-?list|disqus|replies|respond"
+# A whole class or id, or one of the usual compounds; "_" and "--" count as "-".
 APART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disqus|footer|header|"
-    r"hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|popup|promo\w*|"
-    r"related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+    rf"(?:{_NAMES})|(?:site|global|top)-(?:header|banner|bar)|(?:site|page|global|main|bottom)-footer|"
+    r"(?:site|main|top|global|primary|secondary|mobile|side|footer|header)-(?:nav|navbar|navigation|menu)|"
+    r"(?:left|right|primary|secondary|page|site|main)-sidebar|"
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|consent|cookies?|gdpr|login|menu|modal|nav|newsletter|notification|"
+    r"pagination|popup|promo\w*|related|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|widget|footer)-"
+    r"(?:area|banner|bar|block|box|buttons?|consent|container|content|form|icons?|inner|items?|links?|list|menu|message|"
+    r"modal|notice|nav|overlay|panel|popup|posts?|articles|section|signup|slot|unit|widgets?|wrap|wrapper)"
 )
+REPLY_NAMES = re.compile(rf"(?:{_REPLIES})|(?:comments?|disqus|replies)-(?:area|box|container|form|section|thread|wrap|wrapper)")
+
+
+@dataclass(eq=False)
+class Named:
+    """An element whose name says that it holds something else than the main text."""
+
+    replies: bool
+    chars: int = 0  # outside links
+
+
+@dataclass(eq=False)
+class Area:
+    """An article or main element, and the named elements that it is in."""
+
+    tag: str
+    around: tuple[Named, ...]
+    chars: int = 0
+
+
+@lru_cache(maxsize=4096)
+def _named(names: str) -> str:
+    """What a class and id say: "apart", "replies" or nothing."""
+    tokens = [re.sub("[_-]+", "-", x).strip("-") for x in names.lower().split()]
+    if any(REPLY_NAMES.fullmatch(x) for x in tokens):
+        return "replies"
+    return "apart" if any(APART_NAMES.fullmatch(x) for x in tokens) else ""
 
 
 @dataclass
@@ -64,6 +102,8 @@ class Block:
     tag: str
     inside: bool  # of an article or main element
     apart: bool  # in navigation, a form, a side column and the like
+    named: tuple[Named, ...] = ()  # elements that it is in
+    areas: tuple[Area, ...] = ()
     pieces: list[str] = field(default_factory=list)
     link_chars: int = 0
 
@@ -73,13 +113,15 @@ class _Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, unread, apart, inside
+        # tag, unread, apart, named elements and areas around
+        self.open: list[tuple[str, bool, bool, tuple[Named, ...], tuple[Area, ...]]] = []
+        self.areas: list[Area] = []
         self.blocks: list[Block] = []
         self.block: Block | None = None
         self.links = 0
 
-    def _state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def _state(self) -> tuple[bool, bool, tuple[Named, ...], tuple[Area, ...]]:
+        return self.open[-1][1:] if self.open else (False, False, (), ())
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -89,16 +131,22 @@ class _Reader(HTMLParser):
             self.block.pieces.append(" ")
         if tag in VOID:
             return
-        unread, apart, inside = self._state()
+        unread, apart, named, areas = self._state()
         values = dict(attrs)
-        names = f"{values.get('class') or ''} {values.get('id') or ''}"
-        apart = apart or tag in APART or (values.get("role") or "").lower() in APART_ROLES
-        # the body and the article may be named for what else a page has
-        apart = apart or tag not in ("html", "body", "main") and bool(APART_NAMES.search(names))
+        role = (values.get("role") or "").lower()
+        apart = apart or tag in APART or role in APART_ROLES
         apart = apart or "hidden" in values or values.get("aria-hidden") == "true"
-        apart = apart or tag == "header" and not inside
-        inside = inside or tag in ("article", "main") or (values.get("role") or "").lower() in ("article", "main")
-        self.open.append((tag, unread or tag in UNREAD, apart, inside))
+        apart = apart or tag == "header" and not areas
+        area = next((x for x in ("article", "main") if x in (tag, role)), "")
+        kind = _named(f"{values.get('class') or ''} {values.get('id') or ''}") if tag not in ("html", "body") else ""
+        # an article may be named for its tags and flags, unless it is a reader's
+        nested = any(x.tag == "article" for x in areas)
+        if kind and (not area or area == "article" and (nested or kind == "replies")):
+            named = (*named, Named(kind == "replies"))
+        if area:
+            areas = (*areas, Area(area, named))
+            self.areas.append(areas[-1])
+        self.open.append((tag, unread or tag in UNREAD, apart, named, areas))
         self.links += tag == "a"
 
     def _close_implied(self, tag: str) -> None:
@@ -127,20 +175,45 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        unread, apart, inside = self._state()
+        unread, apart, named, areas = self._state()
         if unread:
             return
         if self.block is None:
             if data.isspace():
                 return
             tag = next((x[0] for x in reversed(self.open) if x[0] in BLOCKS), "body")
-            self.block = Block(tag, inside, apart)
+            self.block = Block(tag, bool(areas), apart, named, areas)
             self.blocks.append(self.block)
         self.block.pieces.append(data)
         if self.links:
             self.block.link_chars += len("".join(data.split()))
 
 
+def _cut_by_name(reader: _Reader) -> None:
+    """Blocks in named elements are apart, unless the element holds the article, main or most of the text.
+
+    Replies that are longer than the text they answer are still replies: they
+    are the text only where little else is left.
+    """
+    whole = 0
+    for block in reader.blocks:
+        if not block.apart:
+            chars = len("".join("".join(block.pieces).split())) - block.link_chars
+            whole += chars
+            for x in (*block.named, *block.areas):
+                x.chars += chars
+    articles = [x for x in reader.areas if x.tag == "article" and x.chars]
+    articles = [x for x in articles if not any(n.replies for n in x.around)] or articles
+    around = [x for x in reader.areas if x.tag == "main" and x.chars]
+    if articles:
+        around.append(max(articles, key=lambda x: x.chars))
+    free = {n for x in around for n in x.around}
+    for block in reader.blocks:
+        for n in block.named:
+            most = 2 * n.chars > whole and (not n.replies or whole - n.chars < LONG_CHARS)
+            block.apart = block.apart or not (n in free or most)
+
+
 def _decide(block: Block, text: str, has_article: bool) -> bool | None:
     """Good, bad or open, by the block alone."""
     chars = len("".join(text.split()))
@@ -164,6 +237,7 @@ def main_text(html: str) -> str:
     reader = _Reader()
     reader.feed(html)
     reader.close()
+    _cut_by_name(reader)
     blocks = [(block, " ".join("".join(block.pieces).split())) for block in reader.blocks]
     blocks = [(block, text) for block, text in blocks if text]
     has_article = any(block.inside and not block.apart for block, _ in blocks)

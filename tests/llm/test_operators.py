@@ -185,3 +185,27 @@ def test_main_text():
     assert main_text(page) == "Head & tail\n\nOne of the lines. Two\n\nShort."
     assert main_text("") == "" and main_text("<nav><a>x</a></nav>") == ""
     assert main_text("<p>" + "The words of a long text are here. " * 3000 + "</p>").startswith("The words")
+
+
+TEXT = "This is the text of the page, and it is long enough to be read as what the page has to say to us."
+SIDE = "You can have all of this and more of it if you join us, as it is the best that there is for you."
+
+
+@pytest.mark.parametrize("name", ["post tag-social", "hentry comments-open", "post category-cookies", "has-sidebar", "no-sidebar", "hidden-xs", "sidebar", "widget"])
+def test_main_text_keeps_what_is_named_for_something_else(name):
+    text = f"<h1 class='entry-header'>The head of it</h1><p>{TEXT}</p><p>{TEXT}</p>"
+    kept = f"The head of it\n\n{TEXT}\n\n{TEXT}"
+    side = f"<div class='sidebar'><p>{SIDE}</p></div>"
+    assert main_text(f"<article class='{name}'>{text}</article>{side}") == kept
+    assert main_text(f"<div id='{name}'><article>{text}</article></div>{side}") == kept
+    assert main_text(f"<main><div class='{name}'>{text}</div>{side}</main>") == kept
+    assert main_text(f"<div class='{name}'>{text}</div>{side}") == kept
+
+
+@pytest.mark.parametrize("name", ["ad", "site-header", "site__nav", "cookie-banner", "share-buttons x", "comments", "newsletter-signup"])
+def test_main_text_cuts_what_is_named_apart(name):
+    side = f"<div class='{name}'><p>{SIDE}</p></div>"
+    assert main_text(f"{side}<article><p>{TEXT}</p><p>{TEXT}</p>{side}</article>") == f"{TEXT}\n\n{TEXT}"
+    replies = f"<section class='comments'><article class='comment'><p>{SIDE * 9}</p></article></section>"
+    text = f"<p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p>"
+    assert main_text(f"<main><article>{text}</article>{replies}</main>") == "\n\n".join([TEXT] * 3)
