@@ -1,10 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
 A page is read as a sequence of blocks, the runs of text between block-level
-tags. The first pass looks at each block alone: where it stands, how much of it
-is link text, how long it is, and how many of its words are stop words. It
-calls a block good or bad, or leaves a short one open. The second pass gives
-open blocks the label of the nearest decided ones.
+tags. The first pass looks at each block alone: how much of it is link text,
+how long it is, how many of its words are stop words, and whether it stands in
+an article or main element. It calls a block good or bad, or leaves it open.
+The second pass gives open blocks the label of decided ones near them. Where
+the page's language has no stop words here, length and the end of a sentence
+stand in for them.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ STOP_WORDS = frozenset(
     """.split()
 )
 
+SENTENCE_END = tuple(".!?…:。！？।॥؟۔")
+WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef]")  # letters that say as much as two
+
 # Element names.
 BLOCKS = frozenset(
     """
@@ -193,7 +198,8 @@ def _cut_by_name(reader: _Reader) -> None:
     """Blocks in named elements are apart, unless the element holds the article, main or most of the text.
 
     Replies that are longer than the text they answer are still replies: they
-    are the text only where little else is left.
+    are the text only where little else is left. Beside an article or main with
+    text, the element has to be long.
     """
     whole = 0
     for block in reader.blocks:
@@ -211,25 +217,102 @@ def _cut_by_name(reader: _Reader) -> None:
     for block in reader.blocks:
         for n in block.named:
             most = 2 * n.chars > whole and (not n.replies or whole - n.chars < LONG_CHARS)
+            most = most and (bool(block.areas) or not around or n.chars >= LONG_CHARS)
             block.apart = block.apart or not (n in free or most)
 
 
-def _decide(block: Block, text: str, has_article: bool) -> bool | None:
-    """Good, bad or open, by the block alone."""
-    chars = len("".join(text.split()))
-    if block.apart or has_article and not block.inside:
-        return False
-    if block.link_chars > LINK_SHARE * chars:
+@dataclass
+class Page:
+    """What the whole page says about its blocks."""
+
+    article: bool  # most of its text stands in article and main elements
+    known: bool  # its language has stop words here
+
+
+def _stops(text: str) -> tuple[int, int]:
+    """Stop words, and all words."""
+    words = text.lower().split()
+    return sum(word.strip(".,;:!?()\"'") in STOP_WORDS for word in words), len(words)
+
+
+def _linked(block: Block, text: str) -> bool:
+    return block.link_chars > LINK_SHARE * len("".join(text.split()))
+
+
+def _width(text: str) -> int:
+    return len(text) + (0 if text.isascii() else len(WIDE.findall(text)))
+
+
+def _seen(blocks: list[tuple[Block, str]]) -> Page:
+    inside = outside = stops = words = 0
+    for block, text in blocks:
+        if not block.apart and _width(text) >= SHORT_CHARS and not _linked(block, text):
+            inside, outside = inside + len(text) * block.inside, outside + len(text) * (not block.inside)
+            found, n = _stops(text)
+            stops, words = stops + found, words + n
+    article = (inside >= outside or outside < LONG_CHARS) and any(block.inside and not block.apart for block, _ in blocks)
+    return Page(article, words > 0 and 2 * stops >= STOP_SHARE * words)
+
+
+def _decide(block: Block, text: str, page: Page) -> bool | None:
+    """Good, bad or open, by the block and its page."""
+    if block.apart or _linked(block, text):
         return False
-    if len(text) < SHORT_CHARS:
+    width = _width(text)
+    if width < SHORT_CHARS:
         return None
-    words = text.lower().split()
-    stops = sum(word.strip(".,;:!?()\"'") in STOP_WORDS for word in words) / len(words)
-    if block.inside:
-        return True if len(text) >= LONG_CHARS or stops >= STOP_SHARE else None
-    if stops >= STOP_SHARE:
-        return True
-    return None if len(text) < LONG_CHARS else False
+    stops, words = _stops(text)
+    strayed = page.article and not block.inside
+    if stops >= STOP_SHARE * words:
+        return None if strayed and width < LONG_CHARS else True
+    if page.known or strayed:
+        return None
+    return True if width >= LONG_CHARS or text.endswith(SENTENCE_END) else None
+
+
+def _near(labels: list[bool | None]) -> list[tuple[tuple[int, bool] | None, tuple[int, bool] | None]]:
+    """Of each place, the nearest decided places up to it and from it on, with their labels."""
+    before, last = [], None
+    for k, label in enumerate(labels):
+        last = (k, label) if label is not None else last
+        before.append(last)
+    after, last = [], None
+    for k in range(len(labels) - 1, -1, -1):
+        last = (k, labels[k]) if labels[k] is not None else last
+        after.append(last)
+    return list(zip(before, reversed(after), strict=True))
+
+
+def _by_nearest(blocks: list[tuple[Block, str]], labels: list[bool | None], alone: bool) -> list[bool]:
+    """The label of the nearest decided block; of two as near, a heading takes the later one."""
+    found = []
+    for k, ((block, _), label, near) in enumerate(zip(blocks, labels, _near(labels), strict=True)):
+        if label is None:
+            sides = [(abs(x[0] - k), block.tag not in HEADINGS if x[0] > k else block.tag in HEADINGS, x[1]) for x in near if x]
+            label = min(sides)[2] if sides else alone
+        found.append(label)
+    return found
+
+
+def _in_article(blocks: list[tuple[Block, str]], labels: list[bool | None]) -> list[bool]:
+    """In an article, whose ends count as good, short open runs between two bad blocks are bad.
+
+    A heading stays wherever good text follows before the next heading that is not below it.
+    """
+    found = [label is not False for label in labels]
+    for k, (left, right) in enumerate(_near(labels)):
+        if labels[k] is None and left and right and not left[1] and not right[1]:
+            run = sum(_width(text) for _, text in blocks[left[0] + 1 : right[0]])
+            found[k] = run >= SHORT_CHARS or blocks[k][0].tag in HEADINGS and _leads(blocks, labels, k)
+    return found
+
+
+def _leads(blocks: list[tuple[Block, str]], labels: list[bool | None], k: int) -> bool:
+    own = blocks[k][0].tag
+    for (block, _), label in zip(blocks[k + 1 :], labels[k + 1 :], strict=True):
+        if label or block.tag in HEADINGS and block.tag <= own:
+            return bool(label)
+    return False
 
 
 def main_text(html: str) -> str:
@@ -240,30 +323,21 @@ def main_text(html: str) -> str:
     _cut_by_name(reader)
     blocks = [(block, " ".join("".join(block.pieces).split())) for block in reader.blocks]
     blocks = [(block, text) for block, text in blocks if text]
-    has_article = any(block.inside and not block.apart for block, _ in blocks)
-    labels = [_decide(block, text, has_article) for block, text in blocks]
-    before: list[tuple[int, bool] | None] = []
-    last = None
-    for k, label in enumerate(labels):
-        last = (k, label) if label is not None else last
-        before.append(last)
-    after, last = [], None
-    for k in range(len(labels) - 1, -1, -1):
-        last = (k, labels[k]) if labels[k] is not None else last
-        after.append(last)
-    after.reverse()
-    good = []
-    for k, (block, text) in enumerate(blocks):
-        label = labels[k]
-        if label is None and block.inside:
-            # the whole article is one text: what is left open in it belongs to it
-            label = True
-        elif label is None:
-            near = [(abs(x[0] - k), block.tag not in HEADINGS if x[0] > k else block.tag in HEADINGS, x[1]) for x in (before[k], after[k]) if x]
-            label = min(near)[2] if near else True
-        if label:
-            good.append(text)
-    return "\n\n".join(good)
+    page = _seen(blocks)
+    labels = [_decide(block, text, page) for block, text in blocks]
+    if True not in labels:
+        labels = [True if label is None and _width(text) >= LONG_CHARS else label for (_, text), label in zip(blocks, labels, strict=True)]
+    if not page.article:
+        good = _by_nearest(blocks, labels, alone=True)
+    else:
+        good = [False] * len(blocks)
+        for inside in (True, False):
+            # what is apart doesn't stand in the article's text
+            own = [k for k, (block, _) in enumerate(blocks) if block.inside == inside and not (inside and block.apart)]
+            part, given = [blocks[k] for k in own], [labels[k] for k in own]
+            for k, label in zip(own, _in_article(part, given) if inside else _by_nearest(part, given, alone=False), strict=True):
+                good[k] = label
+    return "\n\n".join(text for (_, text), label in zip(blocks, good, strict=True) if label)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

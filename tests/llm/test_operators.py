@@ -209,3 +209,36 @@ def test_main_text_cuts_what_is_named_apart(name):
     replies = f"<section class='comments'><article class='comment'><p>{SIDE * 9}</p></article></section>"
     text = f"<p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p>"
     assert main_text(f"<main><article>{text}</article>{replies}</main>") == "\n\n".join([TEXT] * 3)
+
+
+def test_main_text_by_rules_in_and_out_of_articles():
+    nav = "<nav><a href=x>menu</a></nav>"
+    links = "<p><a href=x>One of the other pages</a></p>"
+    text = f"<h2>A head</h2><p>{TEXT}</p><p>Short.</p><p>{TEXT * 2}</p>"
+    kept = f"A head\n\n{TEXT}\n\nShort.\n\n{TEXT * 2}"
+    teasers = "".join(f"<article><a href={k}>Teaser {k} of it</a></article>" for k in range(3))
+    assert main_text(f"{nav}<div>{text}</div>{teasers}") == kept
+    # in the article a short line between links goes, its headline, byline and last line stay
+    page = f"<article>{links}<h1>Title</h1>{links}<p>By me</p><p>{TEXT}</p>{links}<p>Join now</p>{links}<p>{TEXT}</p><p>End</p></article>"
+    assert main_text(nav + page) == f"Title\n\nBy me\n\n{TEXT}\n\n{TEXT}\n\nEnd"
+    # text beside the article is read by the same rules
+    assert main_text(f"<div><p>{SIDE * 3}</p></div><article><p>{TEXT * 9}</p></article><p>Imprint</p>") == f"{SIDE * 3}\n\n{TEXT * 9}\n\nImprint"
+    assert main_text(f"<div>{SIDE}</div><article><p>{TEXT * 9}</p></article>") == TEXT * 9
+
+
+def test_main_text_of_other_languages_and_long_lists():
+    nav = "<nav><a href=x>menu</a></nav>"
+    finnish = "Tämä sivu kertoo meille jotakin hyvin pitkästi, jotta lukija ymmärtäisi asian kunnolla ja kokonaan. " * 3
+    finnish = finnish.strip()
+    chinese = "这是一个很长的句子，用来说明网页正文的提取不应该依赖空格和停用词表，因为中文没有空格。"
+    for text in (finnish, chinese):
+        assert main_text(f"{nav}<p>{text}</p><p>{text}</p><footer>x</footer>") == f"{text}\n\n{text}"
+        assert main_text(f"{nav}<article><p>{text}</p></article>") == text
+    table = " ".join(f"{k}:{k * k}" for k in range(99))
+    assert main_text(f"{nav}<p>{TEXT}</p><pre>{table}</pre><p>{TEXT}</p>") == f"{TEXT}\n\n{table}\n\n{TEXT}"
+    assert main_text(f"{nav}<pre>{table}</pre>{nav}") == table
+
+
+def test_main_text_of_a_tiny_article():
+    for side in (f"<div class='ad'>{SIDE}</div>", f"<div>{SIDE}</div>"):
+        assert main_text(f"{side}<article><h1>Title</h1><p>One line.</p></article><footer>x</footer>") == "Title\n\nOne line."
