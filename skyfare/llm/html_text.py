@@ -53,6 +53,7 @@ BLOCKS = frozenset(
 UNREAD = frozenset(
     "head iframe math noembed noframes noscript object script select style svg template textarea title".split()
 )
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 APART = frozenset("aside button dialog fieldset footer form menu nav search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -118,17 +119,20 @@ class _Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # tag, unread, apart, named elements and areas around
-        self.open: list[tuple[str, bool, bool, tuple[Named, ...], tuple[Area, ...]]] = []
+        # tag, whether it is a link, unread, apart, named elements and areas around
+        self.open: list[tuple[str, bool, bool, bool, tuple[Named, ...], tuple[Area, ...]]] = []
         self.areas: list[Area] = []
         self.blocks: list[Block] = []
         self.block: Block | None = None
         self.links = 0
 
     def _state(self) -> tuple[bool, bool, tuple[Named, ...], tuple[Area, ...]]:
-        return self.open[-1][1:] if self.open else (False, False, (), ())
+        return self.open[-1][2:] if self.open else (False, False, (), ())
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._end_head(tag)
+        if tag == "a":
+            self._end_link()
         if tag in BLOCKS:
             self.block = None
             self._close_implied(tag)
@@ -151,8 +155,32 @@ class _Reader(HTMLParser):
         if area:
             areas = (*areas, Area(area, named))
             self.areas.append(areas[-1])
-        self.open.append((tag, unread or tag in UNREAD, apart, named, areas))
-        self.links += tag == "a"
+        link = tag == "a" and values.get("href") is not None
+        self.open.append((tag, link, unread or tag in UNREAD, apart, named, areas))
+        self.links += link
+
+    def _end_head(self, tag: str) -> None:
+        """An open head ends, with all in it, where the body or anything else that it cannot hold begins."""
+        if tag in IN_HEAD:
+            return
+        for k in range(len(self.open) - 1, -1, -1):
+            name = self.open[k][0]
+            if name == "head":
+                self.block = None
+                self._close(k)
+                break
+            if name == "body" or name in UNREAD and tag != "body":
+                break
+
+    def _end_link(self) -> None:
+        """An anchor ends where the next begins; what was opened in it stays open."""
+        for k in range(len(self.open) - 1, -1, -1):
+            name, link = self.open[k][:2]
+            if name == "a":
+                self.links -= link
+                del self.open[k]
+            if name in ("a", "td", "th", "caption"):
+                break
 
     def _close_implied(self, tag: str) -> None:
         """A paragraph ends where a block begins; an item where the next does."""
@@ -165,7 +193,7 @@ class _Reader(HTMLParser):
                 break
 
     def _close(self, k: int) -> None:
-        self.links -= sum(x[0] == "a" for x in self.open[k:])
+        self.links -= sum(x[1] for x in self.open[k:])
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -180,6 +208,8 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._end_head("")
         unread, apart, named, areas = self._state()
         if unread:
             return

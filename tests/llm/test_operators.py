@@ -242,3 +242,21 @@ def test_main_text_of_other_languages_and_long_lists():
 def test_main_text_of_a_tiny_article():
     for side in (f"<div class='ad'>{SIDE}</div>", f"<div>{SIDE}</div>"):
         assert main_text(f"{side}<article><h1>Title</h1><p>One line.</p></article><footer>x</footer>") == "Title\n\nOne line."
+
+
+def test_main_text_without_optional_end_tags():
+    kept = f"{TEXT}\n\n{TEXT}"
+    for head in ("<head><title>x</title>", "<title>x</title>", "<head><meta charset=x><script>var a='<body>'</script>", "<head><noscript><img src=x></noscript>"):
+        for body in ("<body>", "<body><main>", ""):
+            assert main_text(f"<!DOCTYPE html><html>{head}{body}<article><p>{TEXT}<p>{TEXT}") == kept
+            assert main_text(f"<html>{head}{body}<p>{TEXT}<p>{TEXT}<footer>x") == kept
+    assert main_text(f"<head><title>x</title>\n{TEXT}") == TEXT
+    assert main_text(f"<html><head><title>x</title></head><body><ul><li>{TEXT}<li>{TEXT}</ul><table><tr><td>{TEXT}<tr><td>{TEXT}</table>") == f"{kept}\n\n{kept}"
+
+
+def test_main_text_counts_links_with_an_address_only():
+    assert main_text(f"<article><h2><a name=s1>Title</a></h2><p>{TEXT}</p></article>") == f"Title\n\n{TEXT}"
+    assert main_text(f"<div><a name=top><p>{TEXT}</p><p>{TEXT}</p></div>") == f"{TEXT}\n\n{TEXT}"
+    # an open link ends at the next one, and what it held goes on
+    links = "<p><a href=x>One of the links that is as long as a block of the text of the page has to be<b><a href=y>two</a></b></p>"
+    assert main_text(f"<div>{links}<a href=x>More<p>{TEXT}</p><a name=s></a><p>{TEXT}</p><p>{TEXT}</p></div>") == f"{TEXT}\n\n{TEXT}"
