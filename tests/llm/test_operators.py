@@ -13,7 +13,7 @@ from skyfare.llm.bpe import Bpe, decode_documents, encode_documents
 from skyfare.llm.decontaminate import find_benchmark
 from skyfare.llm.html_text import main_text
 from skyfare.llm.neighbours import nearest
-from skyfare.llm.pii import find_personal_data, redact
+from skyfare.llm.pii import boost, find_personal_data, labelled, redact, thresholds
 from skyfare.llm.quality import isotonic, score_quality
 from skyfare.llm.shingle_join import jaccard_components
 from skyfare.llm.token_counts import count_tokens
@@ -160,6 +160,21 @@ def test_personal_data(spark):
     assert clean[None].text == "😀 [EMAIL]" and clean[1].spans == "s"
 
 
+def test_personal_data_in_forms_that_no_base_pattern_takes(spark):
+    personal = (
+        "2001:db8::7", "fe80::204:61ff:fe9d:f156", "call 2125550187", "(212)555-0187", "030/4471234", "0171 2345678", "call 555-0187",
+        "01 23 45 67 89", "JOE.ROE AT EXAMPLE DOT COM", "joe(AT)example.com", "joe{at}example.com", "4222.2222.2222.2220", "joe [at] example [dot] org",
+    )
+    other = ("std::vector<int>", "see a::b", "on 2024-01-31", "in 1998-1999", "id 2125550187", "we met at noon.Then", "1 " * 40, "4222.2222.2222.2221")
+    rows = [(k, f"Well, {text} it is") for k, text in enumerate(personal + other)]
+    clean = {r.doc_id: r.text for r in redact(frame(spark, rows)).collect()}
+    assert [k for k, text in enumerate(personal) if text.split()[-1] in clean[k] or not re.search(r"\[(EMAIL|IP|CARD|PHONE)\] it is$", clean[k])] == []
+    assert [text for k, text in rows[len(personal) :] if clean[k] != text] == []
+    examples = labelled(spark).localCheckpoint()
+    fitted = thresholds(examples.where("held"), boost(examples.where("NOT held")))
+    assert set(fitted) == {"email", "ip", "card", "phone"}
+
+
 def test_urls(spark):
     urls = [
         ("http://A.Example.org/es/1?q", "example.org/es/", "block"),
