@@ -40,18 +40,22 @@ class Windows(NamedTuple):
     vocabulary: np.ndarray  # sorted word hashes
     words: list[np.ndarray]  # one matrix for each length: window by position
     items: list[list[tuple[int, ...]]]  # item numbers of each window
-    names: list[str]  # item ids as text, by item number
+    names: list[str | None]  # item ids as text, by item number; all items without an id have one number
     shortest: int
 
 
-def windows_of(items: list[tuple[str, bytes]], size: int = WINDOW) -> Windows:
+def _in_order(names: set[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
+def windows_of(items: list[tuple[str | None, bytes]], size: int = WINDOW) -> Windows:
     """All windows of ``size`` words of (item id, lower-cased text); shorter items are one window."""
     data = np.frombuffer(b"".join(text for _, text in items), np.uint8)
     offsets = np.r_[0, np.cumsum([len(text) for _, text in items])].astype(np.int64)
     found = find_words(data, offsets, ALNUM_WORD)
     vocabulary = np.unique(found.hashes)
     numbers = np.searchsorted(vocabulary, found.hashes) + 1
-    names = sorted({name for name, _ in items})
+    names = _in_order({name for name, _ in items})
     number_of = {name: k for k, name in enumerate(names)}
     by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
     for d, (name, _) in enumerate(items):
@@ -267,7 +271,7 @@ def _pass(windows: Windows, cleaned: str, last: bool) -> Callable[[Iterator[pa.R
                     columns |= {"text": rows.column("text"), "words": pa.array(words, _SPANS)}
                 columns["n_words"] = pa.array(np.diff(found.bounds), pa.int64())
                 columns["n_hit"] = pa.array(n_hit, pa.int64())
-                columns["items"] = pa.array([sorted(x) for x in names], pa.list_(pa.string()))
+                columns["items"] = pa.array([_in_order(x) for x in names], pa.list_(pa.string()))
                 columns["spans"] = pa.array(spans, _SPANS)
                 if cleaned:
                     was = rows.column("text")
@@ -284,11 +288,11 @@ def hit_ranges(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, most_words: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, item: str, text: str, most_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items, a bounded number of words at a time; one block, perhaps empty, at least."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
     block, words = [], 0
-    for row in rows.where("item IS NOT NULL AND text IS NOT NULL").toLocalIterator():
+    for row in rows.where("text IS NOT NULL").toLocalIterator():
         block.append((row["item"], row["text"].encode()))
         words += len(block[-1][1]) // 2 + 1
         if words > most_words:
@@ -311,10 +315,11 @@ def find_benchmark(
     """One row for each document row: doc_id, n_words, n_hit, items, spans.
 
     ``spans`` are the byte spans to remove, ``items`` the ids (as text, sorted)
-    of the benchmark items with a window in the document. With ``cleaned``, a
+    of the benchmark items with a window in the document, and one NULL at the
+    end for all such items without an id. With ``cleaned``, a
     column of that name holds the text without the spans. NULL and empty texts
-    have no words; repeated rows and NULL ids stay, each on its own; NULL items
-    and items without words match nothing; an empty benchmark matches nothing.
+    have no words; repeated rows and NULL ids stay, each on its own; items
+    without text or words match nothing; an empty benchmark matches nothing.
     Other columns are not read.
 
     A benchmark of more than ``most_words`` words is searched in several

@@ -70,6 +70,17 @@ def test_benchmark_windows(spark):
     assert {r.n_hit for r in find_benchmark(frame(spark), benchmark.limit(0)).collect()} == {0}
 
 
+def test_benchmark_items_without_an_id(spark):
+    item, last = (" ".join(f"w{k}" for k in range(a, a + 12)) for a in (20, 40))
+    rows = [(None, item), (None, last), (1, last), (None, None), (None, "")]
+    benchmark = spark.createDataFrame(rows, "item_id bigint, text string")
+    for most in (200_000, 5):
+        found = {r.doc_id: r for r in find_benchmark(frame(spark), benchmark, cleaned="kept", most_words=most).collect()}
+        assert (found[0].n_hit, found[0]["items"]) == (24, ["1", None])
+        assert found[0].kept == BASE.replace(item, "").replace(last, "")
+        assert (found[5].n_hit, found[5]["items"]) == (0, [])
+
+
 def test_byte_pair_round_trip(spark):
     path = tokenizer_path(BYTE)
     encoded = encode_documents(frame(spark), path, decoded=True)
