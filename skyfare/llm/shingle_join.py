@@ -1,13 +1,15 @@
-"""N-gram Jaccard join: near copies by a blocked product of the document by n-gram matrix.
+"""N-gram Jaccard join: near copies by a prefix join on rare n-grams, then exact overlaps.
 
-A row of the matrix is the set of a document's distinct word n-grams. Overlap
-counts of document pairs are the entries of the matrix times its transpose.
-The product is taken in two blocks of columns:
+Think of a matrix of documents by n-grams, a row being the set of a document's
+distinct word n-grams. Overlap counts of pairs would be the entries of the
+matrix times its transpose. That product is not accumulated block by block: a
+partial count of a frequent column would be made for each pair under it, the
+square of its rows. Instead, columns propose and rows are compared:
 
 1. The columns that come first when a document's n-grams are ordered from rare
    to frequent. A pair of similarity ``t`` must share one of the first
    ``n - ceil(t n) + 1`` n-grams of both, so only those columns make pairs.
-2. All columns, for the pairs that survive the bounds from their sizes and from
+2. The whole rows are intersected, for the pairs that survive the bounds from their sizes and from
    where in the two rows their first shared n-gram stands.
 
 The order of rarity is one table of counts for the whole corpus, by n-gram hash
