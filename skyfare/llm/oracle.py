@@ -4,6 +4,55 @@ from __future__ import annotations
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _vector_codes(rounds: int = 2) -> str:
+    """Full searches of the codebooks, and their means, for each round."""
+    ctes = [
+        """rows_ AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS row_id, vec_id, label,
+                   list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), cells AS MATERIALIZED (
+            SELECT row_id, part, x[part * len(x) // 16 + 1:(part + 1) * len(x) // 16] AS y
+            FROM (SELECT row_id, x, unnest(range(16)) AS part FROM rows_)
+        ), book0 AS MATERIALIZED (SELECT part, row_id AS entry, y AS e FROM cells WHERE row_id < 64)"""
+    ]
+    for k in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(y, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        ctes.append(
+            f"""near{k} AS MATERIALIZED (
+            SELECT row_id, part, min(struct_pack(d := {distance}, entry := entry)) AS best
+            FROM cells JOIN book{k} USING (part) GROUP BY row_id, part
+        )"""
+        )
+        if k < rounds:
+            ctes.append(
+                f"""means{k} AS (
+            SELECT part, entry, list(mean ORDER BY place) AS mean
+            FROM (
+                SELECT part, entry, place, floor(sum(y)::HUGEINT / count(*))::BIGINT AS mean
+                FROM (
+                    SELECT part, n.best.entry AS entry, unnest(range(len(y))) AS place, unnest(y) AS y
+                    FROM near{k} n JOIN cells USING (row_id, part)
+                ) GROUP BY part, entry, place
+            ) GROUP BY part, entry
+        ), book{k + 1} AS MATERIALIZED (
+            SELECT part, entry, coalesce(mean, e) AS e FROM book{k} LEFT JOIN means{k} USING (part, entry)
+        )"""
+            )
+    return f"""
+        WITH {", ".join(ctes)}, coded AS (
+            SELECT row_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+            FROM near{rounds} GROUP BY row_id
+        ), books AS (
+            SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds}
+        )
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+        FROM coded JOIN rows_ USING (row_id), books
+    """
+
+
 ORACLE: dict[str, str] = {
     "op2_nearest_neighbours": """
         WITH v AS (
@@ -82,4 +131,29 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM worded LEFT JOIN covered USING (row_id) LEFT JOIN matched USING (row_id)
     """,
+    # all products of anchors and rows
+    "op12_hard_negatives": """
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+                   list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, list_dot_product(a.x, c.x)::BIGINT AS score
+            FROM v a JOIN v c ON c.vec_id <> a.vec_id
+            WHERE a.vec_id % 50 = 0
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+            FROM pairs WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), negatives AS (
+            SELECT anchor_id, positive_id, positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+            FROM positives p JOIN pairs n USING (anchor_id)
+            WHERE NOT n.alike AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+    """,
+    "op13_vector_codes": _vector_codes(),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyfare.llm.bpe import encode_documents
 from skyfare.llm.decontaminate import find_benchmark
+from skyfare.llm.hard_negatives import hard_negatives
 from skyfare.llm.html_text import extract_text
 from skyfare.llm.neighbours import nearest
 from skyfare.llm.pii import KINDS, find_personal_data, spans_text
@@ -18,6 +19,7 @@ from skyfare.llm.token_counts import count_tokens
 from skyfare.llm.token_files import read_tokens, write_tokens
 from skyfare.llm.units import tokenizer_path
 from skyfare.llm.url_filter import judge_urls
+from skyfare.llm.vector_codes import compress_vectors
 from skyfare.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +112,23 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved on by one, so that labels and nearness disagree."""
+    moved = (F.col("label").cast("decimal(20,0)") + 1) % 10
+    label = F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label")).cast("bigint")
+    embeddings = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(embeddings, F.col("id") % 50 == 0)
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings")).select(
+        "vec_id",
+        F.lower(F.hex("codes")).alias("code"),
+        "error",
+        "label_error",
+        F.sha2(F.col("codebooks").cast("binary"), 256).alias("codebooks_sha256"),
+    )
