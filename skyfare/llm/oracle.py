@@ -131,6 +131,40 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM worded LEFT JOIN covered USING (row_id) LEFT JOIN matched USING (row_id)
     """,
+    # every string of 100 bytes, as digits: two to a byte
+    "op11_suffix_dedup": """
+        WITH texts AS MATERIALIZED (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), strings AS (
+            SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s
+            FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS p FROM texts)
+        ), firsts AS MATERIALIZED (
+            SELECT s, min(struct_pack(doc_id := doc_id, p := p)) AS f FROM strings GROUP BY s HAVING count(*) > 1
+        ), later AS MATERIALIZED (
+            SELECT doc_id, p FROM strings JOIN firsts USING (s) WHERE struct_pack(doc_id := doc_id, p := p) > f
+        ), runs AS (
+            SELECT doc_id, min(p) AS a, max(p) + 100 AS b
+            FROM (
+                SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+                FROM (
+                    SELECT doc_id, p, (p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -999) + 100)::INTEGER AS fresh
+                    FROM later
+                )
+            ) GROUP BY doc_id, run
+        ), gaps AS (
+            SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs
+            UNION ALL
+            SELECT doc_id, coalesce(max(r.b), 0), max(len(h) // 2) FROM texts LEFT JOIN runs r USING (doc_id) GROUP BY doc_id
+        ), cut AS (
+            SELECT doc_id, string_agg(substr(h, 2 * g.a + 1, 2 * (g.b - g.a)), '' ORDER BY g.a) AS kept
+            FROM texts JOIN gaps g USING (doc_id) GROUP BY doc_id
+        ), counted AS (
+            SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+        )
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+               coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+        FROM texts LEFT JOIN counted USING (doc_id) JOIN cut USING (doc_id)
+    """,
     # all products of anchors and rows
     "op12_hard_negatives": """
         WITH v AS MATERIALIZED (

@@ -14,6 +14,7 @@ from skyfare.llm.html_text import extract_text
 from skyfare.llm.neighbours import nearest
 from skyfare.llm.pii import KINDS, find_personal_data, spans_text
 from skyfare.llm.quality import score_quality
+from skyfare.llm.repeated_text import remove_repeats
 from skyfare.llm.shingle_join import jaccard_components
 from skyfare.llm.token_counts import count_tokens
 from skyfare.llm.token_files import read_tokens, write_tokens
@@ -114,6 +115,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh label is moved on by one, so that labels and nearness disagree."""
