@@ -79,6 +79,11 @@ class Ranks:
         return mixed(first * np.uint64(3) + mixed(second))
 
 
+def _signed(found: list[np.ndarray]) -> np.ndarray:
+    """All numbers in one array, bit for bit; mixing the two kinds would make them floating."""
+    return np.concatenate([np.zeros(0, np.int64), *[x.view(np.int64) for x in found]])
+
+
 def _chunks(text: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places and bytes of chunks of a text; each start of a string is in one of them, with the whole string."""
     for first in range(0, max(len(text) - length + 1, 0), CHUNK_BYTES):
@@ -129,13 +134,13 @@ def _cell_lists(length: int) -> Callable[[Batches], Batches]:
             for text in _texts(batch):
                 found = list(_cells(text, length))
                 for k, name in enumerate(names):
-                    lists[name].append(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64))
+                    lists[name].append(_signed([x[k] for x in found]))
             columns = {"id": batch.column("id"), "twin": batch.column("twin")}
             for name in names:
                 sizes = np.cumsum([0, *map(len, lists[name])])
                 kind = pa.int64() if name in ("rank", "whole") else pa.int32()
-                flat = np.concatenate(lists[name]).view(np.int64) if lists[name] else np.zeros(0, np.int64)
-                columns[name] = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat).cast(kind))
+                flat = pa.array(_signed(lists[name])).cast(kind)
+                columns[name] = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
