@@ -10,19 +10,19 @@ as asked for. Ranks are digests, so that any two equal strings have the same one
 wherever they are; what Spark decides in each round is who is alone and who is
 first. The rounds, for strings of 100 bytes:
 
-1. Rank of 32 bytes. Only one position in about 35 takes part: of each string of
-   100 bytes the least of its 69 ranks, the leftmost of equal ones. Equal strings
+1. Rank of 25 bytes. Only one position in about 38 takes part: of each string of
+   100 bytes the least of its 76 ranks, the leftmost of equal ones. Equal strings
    choose the same one, so a string whose choice is unique is so itself. The
    strings that choose one position are its cell, a run of starts.
 2. Whole cells. Of equal cells, text and all, the later ones are repeats from end
    to end and leave; so do cells whose rank no other cell is left to share.
 3. Runs of eight starts, by place before their position. The 93 bytes that all
-   strings of a run have in common are a pair of ranks of 64 bytes, at offset 29
-   (those of 64 bytes are pairs of 32, at offset 32); runs that are alone with
+   strings of a run have in common are a pair of ranks of 50 bytes, at offset 43
+   (those of 50 bytes are pairs of 25, at offset 25); runs that are alone with
    theirs leave, and again those that are equal to earlier ones from end to end.
-4. Single starts: the pair of ranks of 64 bytes at offset 36 is the string.
+4. Single starts: the pair of ranks of 50 bytes at offset 50 is the string.
 
-Nearly all text is settled in the first two rounds, on one record for each 35
+Nearly all text is settled in the first two rounds, on one record for each 38
 bytes. Only cells at the ends of repeats go further. No group is gathered: the
 first of equal records is found by aggregation and joined, records of a
 document are as many as its text has bytes at most.
@@ -42,7 +42,6 @@ from skyfare.llm.stored import discard, stored
 from skyfare.llm.words import mixed
 
 LENGTH = 100
-RANKED = 32
 BLOCK = 8
 # Bytes of text that are worked on at once; longer texts come in overlapping chunks.
 CHUNK_BYTES = 1 << 19
@@ -79,6 +78,11 @@ class Ranks:
         return mixed(first * np.uint64(3) + mixed(second))
 
 
+def first_rank(length: int) -> int:
+    """Bytes of the first ranks: doubled twice, they reach the length."""
+    return -(-length // 4)
+
+
 def _signed(found: list[np.ndarray]) -> np.ndarray:
     """All numbers in one array, bit for bit; mixing the two kinds would make them floating."""
     return np.concatenate([np.zeros(0, np.int64), *[x.view(np.int64) for x in found]])
@@ -114,15 +118,16 @@ def chosen(ranks: np.ndarray, window: int) -> np.ndarray:
 
 def _cells(text: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """By chunk, the cells of a text: position, first and last start, rank of the position, rank of the cell's text."""
-    window = length - RANKED + 1
+    ranked = first_rank(length)
+    window = length - ranked + 1
     for place, data in _chunks(text, length):
         ranks = Ranks(data)
-        starts = np.arange(len(data) - RANKED + 1)
-        least = chosen(ranks.of(starts, starts + RANKED), window)
+        starts = np.arange(len(data) - ranked + 1)
+        least = chosen(ranks.of(starts, starts + ranked), window)
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         last = np.r_[first[1:], len(least)] - 1
         at = least[first]
-        yield at + place, first + place, last + place, ranks.of(at, at + RANKED), ranks.of(first, last + length)
+        yield at + place, first + place, last + place, ranks.of(at, at + ranked), ranks.of(first, last + length)
 
 
 def _cell_lists(length: int) -> Callable[[Batches], Batches]:
@@ -153,7 +158,7 @@ def _run_ranks(length: int, block: int) -> Callable[[Batches], Batches]:
     the position, as far as they are in the given range. Its core is the text
     that all strings of the full run share.
     """
-    core = length - block + 1
+    core, ranked = length - block + 1, first_rank(length)
 
     def of_text(text: np.ndarray, cells: np.ndarray) -> np.ndarray:
         at, first, last = cells.T
@@ -175,8 +180,8 @@ def _run_ranks(length: int, block: int) -> Callable[[Batches], Batches]:
             piece = text[place : place + CHUNK_BYTES + length + block]
             ranks = Ranks(piece)
             start = origin[own] - place
-            left = ranks.doubled(start, RANKED)
-            right = ranks.doubled(start + core - 2 * RANKED, RANKED)
+            left = ranks.doubled(start, ranked)
+            right = ranks.doubled(start + core - 2 * ranked, ranked)
             found[own, 4], found[own, 5] = left.view(np.int64), right.view(np.int64)
             found[own, 6] = ranks.of(a[own] - place, b[own] - place + length).view(np.int64)
         return found
@@ -232,8 +237,11 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     ranks = lists.select(F.explode("rank").alias("rank")).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
     shared = stored(ranks.where("n > 1").select("rank"), "shared-ranks")
     zipped = F.inline(F.arrays_zip("rank", "at", "first", "last", "whole"))
-    alive = lists.select("id", "twin", zipped).join(shared.hint("shuffle_hash"), "rank", "left_semi").distinct()
-    records, rank = stored(alive, "shared-cells"), ["rank"]
+    alive = lists.select("id", "twin", zipped).join(shared.hint("shuffle_hash"), "rank", "left_semi")
+    # rows that are equal in id and text give the same records, which count once
+    texts = lists.groupBy("id", "twin").agg(F.count(F.lit(1)).alias("n"))
+    once = texts.where("n > 1").isEmpty()
+    records, rank = stored(alive if once else alive.distinct(), "shared-cells"), ["rank"]
     discard(lists, shared)
 
     found: list[DataFrame] = []
@@ -245,7 +253,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             schema = f"{kinds}, at int, first int, last int, place int, left bigint, right bigint, whole bigint"
             before = records
             rank = ["place", "left", "right"]
-            records = stored(joined.mapInArrow(_run_ranks(length, block), schema).distinct(), "runs")
+            cut = joined.mapInArrow(_run_ranks(length, block), schema)
+            records = stored(cut if once else cut.distinct(), "runs")
             discard(before)
         marked, left = _settled(records, rank, "settled")
         found.append(marked.where("later").select("id", "twin", "first", "last"))

@@ -33,7 +33,7 @@ PARTS = 16
 ENTRIES = 64
 ROUNDS = 2
 # Vectors that are worked on at once.
-STEP = 8192
+STEP = 32768
 # Distinct labels whose sums are broadcast, some megabytes.
 MOST_LABELS = 100_000
 
@@ -79,8 +79,11 @@ class Balls:
             own = order[bounds[k] : bounds[k + 1]]
             # how many neighbours are at most twice as far from the entry as the part is
             rings = np.searchsorted(self.rings[k], 4 * best[own], "right")
-            for ring in np.unique(rings[rings > 0]):
-                held = own[rings == ring]
+            # rings of one, two, four neighbours and so on are searched together
+            wide = np.minimum(1 << np.ceil(np.log2(np.maximum(rings, 1))).astype(np.int64), len(self.rings[k]))
+            wide[rings == 0] = 0
+            for ring in np.unique(wide[wide > 0]):
+                held = own[wide == ring]
                 rivals = np.sort(np.r_[k, self.neighbours[k][:ring]])
                 found = distances(parts[held], self.entries[rivals])
                 least = found.argmin(axis=1)
