@@ -208,23 +208,22 @@ def _run_ranks(length: int, block: int) -> Callable[[Batches], Batches]:
 _POSITION = ("id", "twin", "first")
 
 
-def _settled(records: DataFrame, rank: list[str], label: str) -> tuple[DataFrame, DataFrame]:
-    """Records that repeat an earlier one from end to end, and those that still share their rank with another.
+def _sharing(records: DataFrame, rank: list[str]) -> DataFrame:
+    """The records whose rank is not theirs alone."""
+    shared = records.groupBy(*rank).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return records.join(shared.hint("shuffle_hash"), rank, "left_semi")
 
-    Equal records have equal ``rank`` and ``whole``; the first of them stays.
+
+def _settled(records: DataFrame, rank: list[str]) -> DataFrame:
+    """Whether records repeat an earlier one from end to end, as ``later``.
+
+    Equal records have equal ``rank`` and ``whole``; the first of them is not later.
     """
     same = [*rank, "whole"]
     first = records.groupBy(*same).agg(F.min(F.struct(*_POSITION)).alias("earliest"), F.count(F.lit(1)).alias("n"))
     several = first.where("n > 1").drop("n")
-    marked = stored(
-        records.join(several, same, "left").withColumn(
-            "later", F.col("earliest").isNotNull() & (F.struct(*_POSITION) > F.col("earliest"))
-        ).drop("earliest"),
-        label,
-    )
-    left = marked.where("NOT later").drop("later")
-    shared = left.groupBy(*rank).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return marked, left.join(shared, rank, "left_semi")
+    later = F.col("earliest").isNotNull() & (F.struct(*_POSITION) > F.col("earliest"))
+    return records.join(several.hint("shuffle_hash"), same, "left").withColumn("later", later).drop("earliest")
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -235,32 +234,30 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     lists = stored(lists, "cells")
     ranks = lists.select(F.explode("rank").alias("rank")).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
-    shared = stored(ranks.where("n > 1").select("rank"), "shared-ranks")
     zipped = F.inline(F.arrays_zip("rank", "at", "first", "last", "whole"))
-    alive = lists.select("id", "twin", zipped).join(shared.hint("shuffle_hash"), "rank", "left_semi")
+    shared = stored(ranks.where("n > 1").select("rank"), "shared-ranks").hint("shuffle_hash")
+    alive = lists.select("id", "twin", zipped).join(shared, "rank", "left_semi")
     # rows that are equal in id and text give the same records, which count once
     texts = lists.groupBy("id", "twin").agg(F.count(F.lit(1)).alias("n"))
     once = texts.where("n > 1").isEmpty()
     records, rank = stored(alive if once else alive.distinct(), "shared-cells"), ["rank"]
-    discard(lists, shared)
+    discard(lists)
 
     found: list[DataFrame] = []
     for block in (0, BLOCK, 1):
         if block:
             cells = F.collect_set(F.struct("at", "first", "last")).alias("cells")
-            of_text = records.groupBy("id", "twin").agg(cells)
+            of_text = _sharing(marked.where("NOT later"), rank).groupBy("id", "twin").agg(cells)
             joined = documents.join(of_text, ["id", "twin"]).select("id", "twin", "text", "cells")
             schema = f"{kinds}, at int, first int, last int, place int, left bigint, right bigint, whole bigint"
-            before = records
-            rank = ["place", "left", "right"]
             cut = joined.mapInArrow(_run_ranks(length, block), schema)
-            records = stored(cut if once else cut.distinct(), "runs")
-            discard(before)
-        marked, left = _settled(records, rank, "settled")
-        found.append(marked.where("later").select("id", "twin", "first", "last"))
+            rank = ["place", "left", "right"]
+            runs = stored(cut if once else cut.distinct(), "runs")
+            records = stored(_sharing(runs, rank), "shared-runs")
+            discard(runs)
+        marked = stored(_settled(records, rank), "settled")
         discard(records)
-        if block != 1:
-            records = stored(left, "unsettled")
+        found.append(marked.where("later").select("id", "twin", "first", "last"))
     return reduce(DataFrame.unionByName, found)
 
 
