@@ -9,11 +9,14 @@ from pyspark.sql import types as T
 # The layouts a reading's time may have besides Spark's default.
 READING_TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss")
 
+# What Spark takes off both ends of a text before it reads a time.
+_TRIMMED = r"[\x00-\x20\x7F]*"
+
 # Text that states a date and maybe a time of day, but no zone.
-_ZONELESS = r"^\s*\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d*)?)?)?)?)?\s*$"
+_ZONELESS = rf"^{_TRIMMED}\d{{4}}(-\d{{1,2}}(-\d{{1,2}}([ T]\d{{1,2}}:\d{{1,2}}(:\d{{1,2}}(\.\d*)?)?)?)?)?{_TRIMMED}$"
 
-# Text that states a time of day only; Spark would take today's date for it.
-_DATELESS = r"^\s*T?\d{1,2}:"
+# Text that starts with a year. Spark takes today's date for a time of day alone.
+_DATED = rf"^{_TRIMMED}[+-]?\d{{4}}"
 
 
 def tolerant_cast(column: Column, source: T.DataType, target: T.DataType) -> Column:
@@ -46,6 +49,6 @@ def wall_clock(column: Column, source: T.DataType, formats: tuple[str, ...] = ()
     if not isinstance(source, T.StringType):
         return instant
     parsed = F.when(column.rlike(_ZONELESS), column.try_cast("timestamp_ntz")).otherwise(instant)
-    parsed = F.when(~column.rlike(_DATELESS), parsed)
+    parsed = F.when(column.rlike(_DATED), parsed)
     extra = [F.try_to_timestamp(column, F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(parsed, *extra) if extra else parsed

@@ -6,8 +6,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skyfare.schemas import TRIP_KEY
 
@@ -240,10 +241,18 @@ def check_table(df: DataFrame, table: str, rules: Sequence[Rule], first: int = 1
 
 
 def _one_pass(df: DataFrame, table: str, numbered: Sequence[tuple[int, Rule]]) -> DataFrame:
+    measured, report = _measures(df.columns, table, numbered)
+    return df.agg(*measured).select(F.inline(F.array(*report)))
+
+
+def _measures(
+    columns: Sequence[str], table: str, numbered: Sequence[tuple[int, Rule]]
+) -> tuple[list[Column], list[Column]]:
+    """The aggregates that rules need, and the report's rows over them."""
     measured: dict[str, Column] = {"rows": F.count(F.lit(1))}
     report: list[Column] = []
     for number, rule in numbered:
-        absent = [name for name in rule.columns if name not in df.columns]
+        absent = [name for name in rule.columns if name not in columns]
         if absent:
             message = F.lit(None if rule.follows else rule.absent(table, absent))
             report.append(_row(number, table, rule, F.lit(None), message))
@@ -253,8 +262,38 @@ def _one_pass(df: DataFrame, table: str, numbered: Sequence[tuple[int, Rule]]) -
             measured[f"{name}_{number}"] = aggregate
             value[name] = F.col(f"{name}_{number}")
         report.append(_row(number, table, rule, rule.observed(value), rule.failure(table, value)))
-    aggregated = df.agg(*[column.alias(name) for name, column in measured.items()])
-    return aggregated.select(F.inline(F.array(*report)))
+    return [column.alias(name) for name, column in measured.items()], report
+
+
+class Measured:
+    """The rules of a table, measured while it is written instead of by a scan of it afterwards.
+
+    Uniqueness rules are left to the scan: their keys need a shuffle of their own.
+    """
+
+    def __init__(self, table: str, rules: Mapping[str, Sequence[Rule]] | None = None) -> None:
+        self.table, self.observation = table, Observation()
+        first = 1
+        for name, own in (STANDARD_RULES if rules is None else rules).items():
+            if name == table:
+                numbered = list(enumerate(own, start=first))
+            first += len(own)
+        self.numbered = [(n, rule) for n, rule in numbered if not isinstance(rule, UniqueRatio)]
+        self.left = [(n, rule) for n, rule in numbered if isinstance(rule, UniqueRatio)]
+        self.schema: StructType | None = None
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """The rows to write, with the metrics that the rules need."""
+        measured, self.report_rows = _measures(df.columns, self.table, self.numbered)
+        self.schema = df.agg(*measured).schema
+        return df.observe(self.observation, *measured)
+
+    def report(self, spark: SparkSession, df: DataFrame) -> DataFrame:
+        """The report of the written rows; ``df`` is the stored table, read for uniqueness rules only."""
+        found = self.observation.get
+        values = spark.createDataFrame([tuple(found[f.name] for f in self.schema)], self.schema)
+        passes = [values.select(F.inline(F.array(*self.report_rows)))] if self.report_rows else []
+        return reduce(DataFrame.unionByName, [*passes, *[_one_pass(df, self.table, [one]) for one in self.left]])
 
 
 def _row(number: int, table: str, rule: Rule, observed: Column, failure: Column) -> Column:
@@ -274,8 +313,12 @@ def quality_report(
     spark: SparkSession,
     tables: Mapping[str, DataFrame | None],
     rules: Mapping[str, Sequence[Rule]] = STANDARD_RULES,
+    measured: Mapping[str, Measured] | None = None,
 ) -> DataFrame:
-    """All rules of all tables. A table that is None fails once, the others still run."""
+    """All rules of all tables. A table that is None fails once, the others still run.
+
+    Tables in ``measured`` had these rules measured when they were written.
+    """
     reports: list[DataFrame] = []
     first = 1
     for table, table_rules in rules.items():
@@ -283,6 +326,8 @@ def quality_report(
         if df is None:
             gone = [(first, table, "exists", None, None, False, MISSING_TABLE.format(table=table))]
             reports.append(spark.createDataFrame(gone, REPORT))
+        elif measured and table in measured:
+            reports.append(measured[table].report(spark, df))
         else:
             reports.append(check_table(df, table, table_rules, first))
         first += len(table_rules)

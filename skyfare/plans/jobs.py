@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterable
+from collections.abc import Collection, Iterable, Mapping
 from typing import Literal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyfare import schemas
@@ -14,13 +14,10 @@ from skyfare.operators.conform import (
     conform_trips,
     missing_required,
     union_feeds,
-    with_pickup_calendar,
-    with_valid_measures,
-    with_valid_times,
 )
 from skyfare.operators.enrich import broadcast_fits, enrich_trips
 from skyfare.operators.metrics import daily_metrics
-from skyfare.operators.quality import quality_report, require_quality
+from skyfare.operators.quality import Measured, quality_report, require_quality
 from skyfare.operators.readings import flatten_readings, normalize_readings
 from skyfare.sources.files import partition_values, table_bytes
 from skyfare.sources.landing import land_missing_months, land_new_days
@@ -31,8 +28,10 @@ from skyfare.sources.tables import (
     scan_layer,
     scan_raw_trips,
     scan_reading_documents,
+    scan_units,
     write_layer,
 )
+from skyfare.sources.zones import files_of_window
 
 Replace = Literal["table", "partitions"]
 
@@ -80,41 +79,62 @@ def build_trips(
     replace: Replace = "table",
     first_day: str | None = None,
     last_day: str | None = None,
+    measured: Measured | None = None,
 ) -> str:
     """Raw months of all wanted feeds to the clean trip table, of all pickup days or of a window.
 
     The whole table is replaced, other feeds included, unless ``replace`` is
-    ``"partitions"``: then other feeds and days outside the window stay, and days
-    of the window that have no trip any more go. That mode takes all months: a
-    monthly file also holds trips of days outside its month, so a few months
-    cannot stand for the days they touch. Where the files hold real timestamps,
-    a window reaches the scan, which skips the row groups of other days. A month
-    whose files lack a column that cleaning needs is an error: all of its rows
-    would vanish.
+    ``"partitions"``: then other feeds (those not wanted, or without raw files)
+    and days outside the window stay, and days of the window that have no trip
+    any more go. That mode takes all months: a monthly file also holds trips of
+    days outside its month, so a few months cannot stand for the days they
+    touch. Of their files, only those are opened whose zone meets the window
+    (see ``zones``); files without a zone are. Where files hold real timestamps
+    the window reaches the scan as well, which skips row groups of other days. A
+    month whose files lack a column that cleaning needs is an error: all of its
+    rows would vanish.
     """
     if replace == "partitions" and (first_month or last_month):
         raise ValueError("replacing partitions takes all months of a feed")
     feeds = None if taxi_types is None else list(taxi_types)
-    frames = scan_raw_trips(spark, source, feeds, first_month, last_month)
+    if replace == "table":
+        frames = scan_raw_trips(spark, source, feeds, first_month, last_month)
+    else:
+        files = files_of_window(spark, source, None, None)
+        if files is None or "taxi_type" not in files.columns:
+            raise FileNotFoundError(f"no trip files under {source}")
+        there = sorted(r.taxi_type for r in files.select("taxi_type").distinct().collect())
+        feeds = there if feeds is None else feeds
+        if not set(feeds) & set(there):
+            raise FileNotFoundError(f"no trip files of {feeds} under {source}")
+        wanted_files = files_of_window(spark, source, first_day, last_day).filter(F.col("taxi_type").isin(feeds))
+        frames = scan_units(spark, source, wanted_files, by_file=True)
     for frame in frames:
         absent = missing_required(frame)
         if absent:
             raise ValueError(f"raw trips under {source} lack {absent}, columns are {frame.columns}")
-    conformed = union_feeds([conform_trips(frame, F.col("taxi_type")) for frame in frames])
-    if first_day is not None:
-        conformed = conformed.filter(F.col("pickup_datetime") >= F.lit(first_day).cast("timestamp_ntz"))
-    if last_day is not None:
-        after = F.date_add(F.lit(last_day).cast("date"), 1).cast("timestamp_ntz")
-        conformed = conformed.filter(F.col("pickup_datetime") < after)
-    with sized_shuffles(spark, table_bytes(spark, source)):
-        write_layer(clean_conformed(conformed), target, schemas.TRIPS_PARTITIONS, replace)
+    written = Observation()
+
+    def observed(df: DataFrame) -> DataFrame:
+        if replace == "partitions":
+            # one entry for each day and feed of the window
+            df = df.observe(written, F.collect_set(F.struct(*schemas.TRIPS_PARTITIONS)).alias("partitions"))
+        return df if measured is None else measured.attach(df)
+
+    if frames:
+        conformed = union_feeds([conform_trips(frame, F.col("taxi_type")) for frame in frames])
+        if first_day is not None:
+            conformed = conformed.filter(F.col("pickup_datetime") >= F.lit(first_day).cast("timestamp_ntz"))
+        if last_day is not None:
+            after = F.date_add(F.lit(last_day).cast("date"), 1).cast("timestamp_ntz")
+            conformed = conformed.filter(F.col("pickup_datetime") < after)
+        with sized_shuffles(spark, table_bytes(spark, source)):
+            write_layer(clean_conformed(conformed), target, schemas.TRIPS_PARTITIONS, replace, observed=observed)
     if replace == "partitions":
-        # deduplication empties no day, so the days are those before it, found without its shuffle
-        valid = with_pickup_calendar(with_valid_measures(with_valid_times(conformed)))
-        wanted = _inside(F.col("pickup_date").try_cast("date"), first_day, last_day)
-        if feeds is not None:
-            wanted &= F.col("taxi_type").isin(feeds)
-        drop_emptied_partitions(spark, target, valid.select(*schemas.TRIPS_PARTITIONS), wanted)
+        partitions = [tuple(map(str, r)) for r in written.get["partitions"]] if frames else []
+        kept = spark.createDataFrame(partitions, ", ".join(f"{name} string" for name in schemas.TRIPS_PARTITIONS))
+        wanted = _inside(F.col("pickup_date").try_cast("date"), first_day, last_day) & F.col("taxi_type").isin(feeds)
+        drop_emptied_partitions(spark, target, kept, wanted)
     return target
 
 
@@ -145,6 +165,7 @@ def build_enriched(
     first_day: str | None = None,
     last_day: str | None = None,
     replace: Replace = "table",
+    measured: Measured | None = None,
 ) -> str:
     """Clean trips and hourly readings to enriched trips, of all days or of a window.
 
@@ -156,9 +177,11 @@ def build_enriched(
     trip_table = _days(scan_layer(spark, trips, schemas.TRIPS), "pickup_date", first_day, last_day)
     reading_table = _days(scan_layer(spark, readings, schemas.READINGS), "date", first_day, last_day)
     unmoved = broadcast_fits(reading_table)
-    enriched = enrich_trips(trip_table, reading_table, broadcast_readings=unmoved)
     with sized_shuffles(spark, table_bytes(spark, trips)):
-        write_layer(enriched, target, schemas.ENRICHED_PARTITIONS, replace, cluster=not unmoved)
+        enriched = enrich_trips(trip_table, reading_table, broadcast_readings=unmoved)
+        write_layer(
+            enriched, target, schemas.ENRICHED_PARTITIONS, replace, not unmoved, measured and measured.attach
+        )
     if replace == "partitions":
         _drop_emptied_days(spark, target, partition_values(spark, trips, "pickup_date"), first_day, last_day)
     return target
@@ -171,6 +194,7 @@ def build_daily(
     first_day: str | None = None,
     last_day: str | None = None,
     replace: Replace = "table",
+    measured: Measured | None = None,
 ) -> str:
     """Enriched trips to the daily table, of all days or of a window.
 
@@ -178,7 +202,7 @@ def build_daily(
     """
     trips = scan_layer(spark, enriched, schemas.ENRICHED)
     metrics = daily_metrics(_days(trips, "pickup_date", first_day, last_day))
-    write_layer(metrics, target, schemas.DAILY_PARTITIONS, replace)
+    write_layer(metrics, target, schemas.DAILY_PARTITIONS, replace, observed=measured and measured.attach)
     if replace == "partitions":
         days = partition_values(spark, enriched, "pickup_date").withColumnRenamed("pickup_date", "date")
         _drop_emptied_days(spark, target, days, first_day, last_day)
@@ -208,11 +232,15 @@ def _drop_emptied_days(
     drop_emptied_partitions(spark, target, kept, _inside(day, first, last))
 
 
-def check_layers(spark: SparkSession, layout: Layout) -> DataFrame:
+def check_layers(
+    spark: SparkSession, layout: Layout, measured: Mapping[str, Measured] | None = None
+) -> DataFrame:
     """The standard quality report on the tables as they are stored.
 
     The tables are read by the schema of their files: a declared schema would
-    show a column that is missing there as NULLs.
+    show a column that is missing there as NULLs. A table in ``measured`` has
+    been written whole with these measures taken, so only its uniqueness rules
+    read it again.
     """
     return quality_report(
         spark,
@@ -221,13 +249,14 @@ def check_layers(spark: SparkSession, layout: Layout) -> DataFrame:
             "silver.enriched_trips": scan_if_exists(spark, layout.enriched),
             "gold.daily_metrics": scan_if_exists(spark, layout.daily),
         },
+        measured=measured,
     )
 
 
-def require_layers(spark: SparkSession, layout: Layout) -> None:
+def require_layers(spark: SparkSession, layout: Layout, measured: Mapping[str, Measured] | None = None) -> None:
     """The quality gate on the stored tables; the uniqueness rule shuffles every trip's key."""
     with sized_shuffles(spark, table_bytes(spark, layout.trips)):
-        require_quality(check_layers(spark, layout))
+        require_quality(check_layers(spark, layout, measured))
 
 
 def run_pipeline(
@@ -274,6 +303,11 @@ def run_pipeline(
     if replace == "table" and (first_day or last_day):
         raise ValueError('a window of days is built with replace="partitions"')
     window = {"replace": replace, "first_day": first_day, "last_day": last_day}
+    # a whole table is measured as it is written; one that keeps other days is scanned
+    layers = {"silver_trips": "silver.trips", "silver_enriched": "silver.enriched_trips", "gold_daily_metrics": "gold.daily_metrics"}
+    measured = {
+        table: Measured(table) for step, table in layers.items() if replace == "table" and step not in skip_steps
+    }
     actions = {
         "bronze_tlc": lambda: land_missing_months(
             spark, landing_trips, layout.raw_trips, taxi_type, start_month, end_month
@@ -281,13 +315,17 @@ def run_pipeline(
         "bronze_weather": lambda: land_new_days(
             spark, landing_readings, layout.raw_readings, start_date, end_date, today
         ),
-        "silver_trips": lambda: build_trips(spark, layout.raw_trips, layout.trips, [taxi_type], **window),
+        "silver_trips": lambda: build_trips(
+            spark, layout.raw_trips, layout.trips, [taxi_type], measured=measured.get("silver.trips"), **window
+        ),
         "silver_weather": lambda: build_readings(spark, documents(), layout.readings, **window),
         "silver_enriched": lambda: build_enriched(
-            spark, layout.trips, layout.readings, layout.enriched, **window
+            spark, layout.trips, layout.readings, layout.enriched, measured=measured.get("silver.enriched_trips"), **window
+        ),
+        "gold_daily_metrics": lambda: build_daily(
+            spark, layout.enriched, layout.daily, measured=measured.get("gold.daily_metrics"), **window
         ),
-        "gold_daily_metrics": lambda: build_daily(spark, layout.enriched, layout.daily, **window),
-        "quality": lambda: require_layers(spark, layout),
+        "quality": lambda: require_layers(spark, layout, measured),
     }
     executed = [step for step in STEPS if step not in skip_steps]
     for step in executed:

@@ -109,7 +109,14 @@ def union_trip_types(spark, sf_dir):
 
 def _clock_text(layout):
     """Event times as text in ``layout``; errors have no readable time, or one without a date."""
-    unreadable = F.when(F.col("event_id") % 2 == 0, "n/a").otherwise(F.date_format("ts", "HH:mm"))
+    kind = F.col("event_id") % 5
+    unreadable = (
+        F.when(kind == 0, "n/a")
+        .when(kind == 1, F.date_format("ts", "'T'HH"))
+        .when(kind == 2, F.concat(F.lit("\x01"), F.date_format("ts", "HH:mm")))
+        .when(kind == 3, F.date_format("ts", "'T'HH:mm"))
+        .otherwise(F.date_format("ts", "HH:mm"))
+    )
     return F.when(F.col("event_type") == "error", unreadable).otherwise(layout)
 
 

@@ -27,27 +27,49 @@ def table_bytes(spark: SparkSession, root: str) -> int:
     return 0 if listed is None else listed.agg(F.sum("bytes").alias("bytes")).first().bytes or 0
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame | None:
+    """One row per file: ``directory, path, length, modified`` and the partition values; None without the path.
+
+    ``modified`` counts microseconds. Hidden files and folders, whose names start with a dot or an underscore,
+    are left out. The listing is taken at once: it is what the driver holds to plan a scan of them.
+    """
+    files = _files(spark, root)
+    if files is None:
+        return None
+    levels = [name for name in files.columns if name not in _FILE_COLUMNS]
+    directory = F.regexp_replace("path", "/[^/]*$", "").alias("directory")
+    listed = files.select(directory, "path", "length", F.unix_micros("modificationTime").alias("modified"))
+    listed = listed.select("*", *[_unescaped(_segment(f"{name}=([^/]*)")).alias(name) for name in levels])
+    return spark.createDataFrame(listed.toArrow())
+
+
 def _per_directory(spark: SparkSession, root: str) -> DataFrame | None:
+    files = _files(spark, root)
+    if files is None:
+        return None
+    levels = [name for name in files.columns if name not in _FILE_COLUMNS]
+    return (
+        files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("directory"))
+        .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+        .select(
+            "*",
+            *[_unescaped(_segment(f"{name}=([^/]*)")).alias(name) for name in levels],
+        )
+    )
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame | None:
     # Contents are not read, so splits need not be small: without this a large
     # table would be listed by as many tasks as it takes to scan it. The setting
     # is that of a session of its own, so other queries never see it.
     own = spark.newSession()
     own.conf.set("spark.sql.files.maxPartitionBytes", "1t")
     try:
-        files = own.read.format("binaryFile").load(root)
+        return own.read.format("binaryFile").load(root)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    levels = [name for name in files.columns if name not in _FILE_COLUMNS]
-    return (
-        files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("directory"))
-        .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
-        .select(
-            "*",
-            *[_unescaped(_segment(f"{name}=([^/]*)")).alias(name) for name in levels],
-        )
-    )
 
 
 def _segment(pattern: str) -> Column:

@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfare.sources.files import list_partitions
+from skyfare.sources.files import list_files, list_partitions
 from skyfare.sources.plans import bounds, plan_gaps, plan_incremental, plan_months
 from skyfare.sources.tables import UNIT_COLUMNS, scan_reading_documents, scan_units, write_layer
+from skyfare.sources.zones import measure_zones
 
 
 def _landed_units(partitions: DataFrame | None) -> DataFrame | None:
@@ -41,22 +42,24 @@ def land_missing_months(
     """Copy the months that are planned but not landed; return them in order.
 
     A month without files or without rows in ``landing`` stops the run before
-    anything is written. Months keep their own file schema.
+    anything is written. Months keep their own file schema. The zones of the new
+    files are measured, see ``zones``.
     """
     missing = missing_months(spark, destination, taxi_type, start, end)
     # at most one row per month of the plan
     wanted = sorted((r.year, r.month) for r in missing.collect())
     if not wanted:
         return []
-    partitions = list_partitions(spark, landing)
-    if partitions is None:
+    files = list_files(spark, landing)
+    if files is None or not set(UNIT_COLUMNS) <= set(files.columns):
         raise FileNotFoundError(f"no trip files under {landing}")
     unit = F.struct(F.col("year").try_cast("int"), F.col("month").try_cast("int"))
     chosen = (F.col("taxi_type") == taxi_type) & _among(unit, wanted)
-    frames = scan_units(spark, landing, partitions.filter(chosen & (F.col("bytes") > 0)))
+    frames = scan_units(spark, landing, files.filter(chosen & (F.col("length") > 0)))
     _require_rows(frames, taxi_type, wanted)
     for frame in frames:
         write_layer(frame, destination, UNIT_COLUMNS, replace="partitions", cluster=False)
+    measure_zones(spark, destination)
     return wanted
 
 

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable, Sequence
 from typing import Literal
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyfare.schemas import READING_DOCUMENT
-from skyfare.sources.files import list_partitions
+from skyfare.sources.files import list_files, list_partitions
+from skyfare.sources.footers import schema_groups
 
 # Partition columns of the landed monthly trip files.
 UNIT_COLUMNS = ("taxi_type", "year", "month")
 
-# How many months have their file footer read at the same time.
-FOOTER_READERS = 16
-
 # Rows of one written file at most, some gigabytes of trips.
 MOST_RECORDS = 20_000_000
 
@@ -40,53 +36,35 @@ def scan_raw_trips(
     scans, however many months there are. Each frame has ``taxi_type``,
     ``year`` and ``month`` columns. Raises FileNotFoundError if nothing is left.
     """
-    partitions = list_partitions(spark, root)
-    if partitions is None:
+    files = list_files(spark, root)
+    if files is None or not set(UNIT_COLUMNS) <= set(files.columns):
         raise FileNotFoundError(f"no trip files under {root}")
     month = F.concat_ws("-", F.lpad("year", 4, "0"), F.lpad("month", 2, "0"))
-    wanted = F.col("bytes") > 0
+    wanted = F.col("length") > 0
     if taxi_types is not None:
         wanted &= F.col("taxi_type").isin(list(taxi_types))
     if first_month is not None:
         wanted &= month >= first_month
     if last_month is not None:
         wanted &= month <= last_month
-    frames = scan_units(spark, root, partitions.filter(wanted))
+    frames = scan_units(spark, root, files.filter(wanted))
     if not frames:
         raise FileNotFoundError(f"no trip files for the wanted feeds and months under {root}")
     return frames
 
 
-def scan_units(spark: SparkSession, root: str, partitions: DataFrame) -> list[DataFrame]:
-    """One scan per distinct Parquet schema over the directories of ``partitions``.
+def scan_units(spark: SparkSession, root: str, files: DataFrame, by_file: bool = False) -> list[DataFrame]:
+    """One scan per distinct Parquet schema over the directories of ``files`` (directory, path).
 
-    The files of a directory may differ in columns: its schema is that of all
-    of them, merged by executors. Where they differ in types, its files are
-    grouped instead. What comes to the driver is one schema per feed and month,
-    or per file of such a month.
+    With ``by_file`` only these files are opened, and not all others of their directories.
     """
-    directories = [r.directory for r in partitions.orderBy("directory").collect()]
-    with ThreadPoolExecutor(FOOTER_READERS) as pool:
-        found = [unit for units in pool.map(lambda path: _schemas(spark, path), directories) for unit in units]
-    by_schema: dict[str, tuple[T.StructType, list[str]]] = {}
-    for path, schema in found:
-        by_schema.setdefault(schema.json(), (schema, []))[1].append(path)
-    units = T.StructType([T.StructField(name, T.StringType()) for name in UNIT_COLUMNS])
-    return [
-        spark.read.schema(T.StructType([*schema, *units])).option("basePath", root).parquet(*paths)
-        for schema, paths in by_schema.values()
-    ]
+    return [scan_files(spark, root, *group) for group in schema_groups(spark, files, by_file)]
 
 
-def _schemas(spark: SparkSession, directory: str) -> list[tuple[str, T.StructType]]:
-    """The directory with its merged schema, or its files each with their own if types differ."""
-    try:
-        return [(directory, spark.read.option("mergeSchema", True).parquet(directory).schema)]
-    except (PySparkException, Py4JJavaError) as error:
-        if "CANNOT_MERGE_SCHEMAS" not in str(error):
-            raise
-    files = spark.read.format("binaryFile").load(directory).where("length > 0").select("path")
-    return [(r.path, spark.read.parquet(r.path).schema) for r in files.orderBy("path").collect()]
+def scan_files(spark: SparkSession, root: str, schema: T.StructType, paths: list[str]) -> DataFrame:
+    """Files or directories of one schema, with the columns of their place below ``root``."""
+    units = T.StructType([T.StructField(name, T.StringType()) for name in UNIT_COLUMNS])
+    return spark.read.schema(T.StructType([*schema, *units])).option("basePath", root).parquet(*paths)
 
 
 def scan_reading_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -132,6 +110,7 @@ def write_layer(
     partition_by: Sequence[str],
     replace: Literal["table", "partitions"] = "table",
     cluster: bool = True,
+    observed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> str:
     """Write a partitioned Parquet table and return its path.
 
@@ -142,9 +121,13 @@ def write_layer(
     rebalance hint lets adaptive execution split a partition that is far larger
     than the others over several tasks, and put small ones together. A frame
     that comes off a scan of an equally partitioned table needs no gathering.
+    ``observed`` adds metrics to the rows as they are written, after the last
+    shuffle, so that a task that runs again counts once.
     """
     if cluster:
         df = df.hint("rebalance", *partition_by)
+    if observed is not None:
+        df = observed(df)
     (
         df.write.mode("overwrite")
         .option("maxRecordsPerFile", MOST_RECORDS)
