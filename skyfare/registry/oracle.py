@@ -224,6 +224,20 @@ _CLOCK = "CASE WHEN event_type <> 'error' THEN {} END"
 
 _MISSING = "CASE WHEN TRUE THEN '{}: missing table' END"
 
+_QUALITY_REPORT = (f"""WITH {CLEAN_RIDES}, {READINGS},
+daily AS (SELECT pickup_date, count(*) AS total_trips, avg(fare_amount) AS avg_fare_amount
+          FROM clean GROUP BY pickup_date)
+SELECT * REPLACE (round(observed + 1.37e-7, 4) AS observed) FROM (
+""" + "\nUNION ALL\n".join(
+        [
+            *_trip_rules(),
+            _row_count(6, "silver.enriched_trips", "clean"),
+            _row_count(7, "gold.daily_metrics", "daily"),
+            _not_null(8, "gold.daily_metrics", "daily", "total_trips", 1.0),
+            _least(9, "gold.daily_metrics", "daily", "avg_fare_amount", 0.0),
+        ]
+    ) + ")")
+
 ORACLE: dict[str, str] = {
     "conform_columns": f"""WITH {SHIPPED}
 SELECT taxi_type, CAST(vendor_id AS INTEGER) AS vendor_id, pu_location_id,
@@ -302,6 +316,15 @@ SELECT event_id, CAST(pickup_date AS VARCHAR) AS pickup_date, pickup_hour, fare_
     "enrich_hourly_shuffled": f"""WITH {ENRICHED}
 SELECT event_id, CAST(pickup_date AS VARCHAR) AS pickup_date, pickup_hour, fare_amount, total_amount,
        trip_distance, payment_type, temperature_2m, precipitation, windspeed_10m FROM enriched""",
+    "enrich_hourly_heavy": f"""WITH {TRIPS}, {READINGS},
+busy AS (
+  SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN DATE '2024-01-05' ELSE pickup_date END AS pickup_date,
+                    CASE WHEN event_id % 3 = 0 THEN 9 ELSE pickup_hour END AS pickup_hour)
+  FROM trips
+)
+SELECT event_id, CAST(pickup_date AS VARCHAR) AS pickup_date, pickup_hour, fare_amount, total_amount,
+       trip_distance, payment_type, temperature_2m, precipitation, windspeed_10m
+FROM busy LEFT JOIN readings ON pickup_date = date AND pickup_hour = hour""",
     "daily_trip_metrics": f"""WITH {TRIPS}
 SELECT CAST(pickup_date AS VARCHAR) AS pickup_date, count(*) AS total_trips,
        round(avg(fare_amount) + 1.37e-7, 4) AS avg_fare_amount, round(avg(total_amount) + 1.37e-7, 4) AS avg_total_amount,
@@ -355,19 +378,8 @@ GROUP BY pickup_date""",
               "'lineitem: missing uniqueness key columns [''l_batch'']'"),
         _unique(3, "lineitem", "lineitem", ["l_suppkey", "l_linenumber"], 0.995),
     ),
-    "quality_report": f"""WITH {CLEAN_RIDES}, {READINGS},
-daily AS (SELECT pickup_date, count(*) AS total_trips, avg(fare_amount) AS avg_fare_amount
-          FROM clean GROUP BY pickup_date)
-SELECT * REPLACE (round(observed + 1.37e-7, 4) AS observed) FROM (
-""" + "\nUNION ALL\n".join(
-        [
-            *_trip_rules(),
-            _row_count(6, "silver.enriched_trips", "clean"),
-            _row_count(7, "gold.daily_metrics", "daily"),
-            _not_null(8, "gold.daily_metrics", "daily", "total_trips", 1.0),
-            _least(9, "gold.daily_metrics", "daily", "avg_fare_amount", 0.0),
-        ]
-    ) + ")",
+    "quality_report": _QUALITY_REPORT,
+    "quality_on_write": _QUALITY_REPORT,
     "quality_missing_table": _report(
         CLEAN_RIDES,
         *_trip_rules(),
@@ -410,6 +422,17 @@ SELECT DISTINCT CAST(date AS VARCHAR) AS date, CAST(date AS VARCHAR) AS fetched_
 moved AS (SELECT * REPLACE (pickup_datetime + to_months(vendor_id % 4) AS pickup_datetime) FROM rides)
 SELECT {TRIP_COLUMNS} FROM moved
 WHERE pickup_datetime >= TIMESTAMP '2024-02-01' AND pickup_datetime < TIMESTAMP '2024-04-01'""",
+    "zone_map": f"""WITH {RIDES},
+moved AS (SELECT * REPLACE (pickup_datetime + to_months(vendor_id % 4) AS pickup_datetime) FROM rides)
+SELECT taxi_type, strftime(pickup_datetime, '%Y') AS year, strftime(pickup_datetime, '%m') AS month,
+       CAST(min(pickup_datetime) AS VARCHAR) AS first_pickup, CAST(max(pickup_datetime) AS VARCHAR) AS last_pickup,
+       count(*) AS rows
+FROM moved GROUP BY ALL""",
+    "job_trips_window": f"""WITH {RIDES},
+moved AS (SELECT * REPLACE (pickup_datetime + to_months(vendor_id % 4) AS pickup_datetime) FROM rides),
+clean AS (SELECT * FROM moved WHERE {VALID} {KEEP_ONE})
+SELECT {TRIP_COLUMNS}, {CALENDAR} FROM clean
+WHERE CAST(pickup_datetime AS DATE) BETWEEN DATE '2024-02-02' AND DATE '2024-02-04'""",
     "partition_values": f"WITH {RIDES} SELECT DISTINCT taxi_type FROM rides",
     "scan_readings": f"""WITH {DOCUMENTS}
 SELECT CAST(date AS VARCHAR) AS date, CAST(count(*) AS INTEGER) AS times,
@@ -432,5 +455,8 @@ JOIN (SELECT count(*) AS row_count FROM events) ON TRUE""",
     "job_enriched": f"WITH {ENRICHED_RIDES} SELECT {_ENRICHED_TRIP} FROM enriched",
     "job_daily": _daily(ENRICHED_RIDES),
     "job_incremental": _daily(ENRICHED_RIDES, where="pickup_date <> DATE '2024-01-09'"),
+    "job_incremental_one_feed": "WITH daily AS ("
+    + _daily(ENRICHED_RIDES, where="NOT (taxi_type = 'yellow' AND pickup_date = DATE '2024-01-09')")
+    + ") SELECT *, total_trips AS trips FROM daily",
     "job_full": _daily(ENRICHED_RIDES, where="taxi_type = 'yellow'"),
 }

@@ -15,7 +15,7 @@ from skyfare.functions.parsing import READING_TIME_FORMATS, wall_clock
 from skyfare.operators import conform, enrich, inspect, metrics, quality, readings
 from skyfare.plans import jobs
 from skyfare.registry import inputs
-from skyfare.sources import files, landing, plans, tables
+from skyfare.sources import files, landing, plans, tables, zones
 from skyfare.sources.scratch import scratch_path
 from skyfare.streaming import readings as reading_stream
 
@@ -242,6 +242,21 @@ def enrich_hourly_shuffled(spark, sf_dir):
     return enrich.enrich_trips(trips, inputs.hourly_readings(spark, sf_dir), broadcast_readings=False)
 
 
+@query
+def enrich_hourly_heavy(spark, sf_dir):
+    """The same with busy hours, a third of all trips being in one of them."""
+    trips = inputs.hourly_trips(spark, sf_dir)
+    busy = F.col("event_id") % 3 == 0
+    trips = trips.withColumns(
+        {
+            "pickup_date": F.when(busy, F.lit("2024-01-05").cast("date")).otherwise(F.col("pickup_date")),
+            "pickup_hour": F.when(busy, 9).otherwise(F.col("pickup_hour")),
+        }
+    )
+    readings = inputs.hourly_readings(spark, sf_dir)
+    return enrich.enrich_trips(trips, readings, broadcast_readings=False, trips_per_salt=50)
+
+
 @query
 def daily_trip_metrics(spark, sf_dir):
     days = metrics.daily_trip_metrics(inputs.hourly_trips(spark, sf_dir))
@@ -341,6 +356,20 @@ def quality_report(spark, sf_dir):
     return _rounded(jobs.check_layers(spark, layout), "observed")
 
 
+@query
+def quality_on_write(spark, sf_dir):
+    """The same report, its rules measured while the tables are written; uniqueness is scanned."""
+    layout = _raw_layers(spark, sf_dir, "measured")
+    measured = {name: quality.Measured(name) for name in quality.STANDARD_RULES}
+    jobs.build_trips(spark, layout.raw_trips, layout.trips, measured=measured["silver.trips"])
+    documents = tables.scan_reading_documents(spark, layout.raw_readings)
+    jobs.build_readings(spark, documents, layout.readings)
+    enriched = measured["silver.enriched_trips"]
+    jobs.build_enriched(spark, layout.trips, layout.readings, layout.enriched, measured=enriched)
+    jobs.build_daily(spark, layout.enriched, layout.daily, measured=measured["gold.daily_metrics"])
+    return _rounded(jobs.check_layers(spark, layout, measured), "observed")
+
+
 @query
 def quality_missing_table(spark, sf_dir):
     """The report on a root where only the trip table has been written."""
@@ -498,6 +527,29 @@ def scan_trips_window(spark, sf_dir):
     return conform.union_feeds([conform.conform_trips(f, F.col("taxi_type")) for f in frames])
 
 
+@query
+def zone_map(spark, sf_dir):
+    """First and last pickup of the landed months of all feeds, from the zones of their files."""
+    root = inputs.write_ride_months(spark, sf_dir, scratch_path(spark, "zones"), months=4)
+    zones.measure_zones(spark, root)
+    place = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
+    months = zones.zone_map(spark, root).groupBy(place("taxi_type"), place("year"), place("month"))
+    return months.agg(
+        F.min("first_pickup").alias("first_pickup"), F.max("last_pickup").alias("last_pickup"), F.sum("rows").alias("rows")
+    )
+
+
+@query
+def job_trips_window(spark, sf_dir):
+    """Three days of all feeds out of four landed months, opening only files whose zone meets them."""
+    root = inputs.write_ride_months(spark, sf_dir, scratch_path(spark, "months"), months=4)
+    zones.measure_zones(spark, root)
+    target = scratch_path(spark, "window")
+    window = {"replace": "partitions", "first_day": "2024-02-02", "last_day": "2024-02-04"}
+    jobs.build_trips(spark, root, target, **window)
+    return tables.scan_layer(spark, target, schemas.TRIPS)
+
+
 @query
 def partition_values(spark, sf_dir):
     root = inputs.write_ride_months(spark, sf_dir, scratch_path(spark, "months"))
@@ -618,6 +670,41 @@ def job_incremental(spark, sf_dir):
     return _daily(tables.scan_layer(spark, layout.daily, schemas.DAILY))
 
 
+@query
+def job_incremental_one_feed(spark, sf_dir):
+    """All feeds, then all steps of a window again from a source of one feed, which lost a day's trips."""
+    layout = _build_enriched(spark, sf_dir, "job-one-feed")
+    jobs.build_daily(spark, layout.enriched, layout.daily)
+    changed = inputs.write_ride_months(spark, sf_dir, scratch_path(spark, "changed"), without="2024-01-09")
+    window = _event_window(spark, sf_dir).first()
+    only = jobs.Layout(layout.root)
+    only.raw_trips = scratch_path(spark, "one-feed")
+    jobs.run_pipeline(
+        spark,
+        only,
+        landing_trips=changed,
+        landing_readings=layout.raw_readings,
+        taxi_type="yellow",
+        start_month=f"{window.start:%Y-%m}",
+        end_month=f"{window.end:%Y-%m}",
+        start_date=window.start.isoformat(),
+        end_date=window.end.isoformat(),
+        today="2024-02-20",
+        skip_steps=["bronze_weather"],
+        raw_readings_format="json",
+        replace="partitions",
+        first_day="2024-01-08",
+        last_day="2024-01-10",
+    )
+    # without naming the feed, the days of feeds that the source lacks stay too
+    jobs.build_trips(
+        spark, only.raw_trips, layout.trips, replace="partitions", first_day="2024-01-08", last_day="2024-01-10"
+    )
+    trips = tables.scan_layer(spark, layout.trips, schemas.TRIPS)
+    by_day = trips.groupBy(F.col("pickup_date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("trips"))
+    return _daily(tables.scan_layer(spark, layout.daily, schemas.DAILY)).withColumn("date", F.col("date").cast("string")).join(by_day, "date")
+
+
 @query
 def job_full(spark, sf_dir):
     """All seven steps for the yellow feed, from landing folders to the quality gate."""
