@@ -432,7 +432,7 @@ FROM moved GROUP BY ALL""",
 moved AS (SELECT * REPLACE (pickup_datetime + to_months(vendor_id % 4) AS pickup_datetime) FROM rides),
 clean AS (SELECT * FROM moved WHERE {VALID} {KEEP_ONE})
 SELECT {TRIP_COLUMNS}, {CALENDAR} FROM clean
-WHERE CAST(pickup_datetime AS DATE) BETWEEN DATE '2024-02-02' AND DATE '2024-02-04'""",
+WHERE CAST(pickup_datetime AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-10'""",
     "partition_values": f"WITH {RIDES} SELECT DISTINCT taxi_type FROM rides",
     "scan_readings": f"""WITH {DOCUMENTS}
 SELECT CAST(date AS VARCHAR) AS date, CAST(count(*) AS INTEGER) AS times,

@@ -545,7 +545,7 @@ def job_trips_window(spark, sf_dir):
     root = inputs.write_ride_months(spark, sf_dir, scratch_path(spark, "months"), months=4)
     zones.measure_zones(spark, root)
     target = scratch_path(spark, "window")
-    window = {"replace": "partitions", "first_day": "2024-02-02", "last_day": "2024-02-04"}
+    window = {"replace": "partitions", "first_day": "2024-01-08", "last_day": "2024-01-10"}
     jobs.build_trips(spark, root, target, **window)
     return tables.scan_layer(spark, target, schemas.TRIPS)
 
