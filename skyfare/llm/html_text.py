@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,6 +127,13 @@ class _Reader(HTMLParser):
         self.block: Block | None = None
         self.links = 0
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section that is none of the known ones is a comment up to the next ">"."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def _state(self) -> tuple[bool, bool, tuple[Named, ...], tuple[Area, ...]]:
         return self.open[-1][2:] if self.open else (False, False, (), ())
 
@@ -330,9 +338,10 @@ def _in_article(blocks: list[tuple[Block, str]], labels: list[bool | None]) -> l
     A heading stays wherever good text follows before the next heading that is not below it.
     """
     found = [label is not False for label in labels]
+    widths = [0, *accumulate(_width(text) for _, text in blocks)]
     for k, (left, right) in enumerate(_near(labels)):
         if labels[k] is None and left and right and not left[1] and not right[1]:
-            run = sum(_width(text) for _, text in blocks[left[0] + 1 : right[0]])
+            run = widths[right[0]] - widths[left[0] + 1]
             found[k] = run >= SHORT_CHARS or blocks[k][0].tag in HEADINGS and _leads(blocks, labels, k)
     return found
 

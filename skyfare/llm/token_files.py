@@ -12,80 +12,132 @@ A folder of token files holds two Parquet tables: ``codes`` (id, length) and
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfare.llm.stored import stored
-from skyfare.llm.units import Pieces, chunks, tokenizer
+from skyfare.llm.units import tokenizer
+from skyfare.llm.words import slices
 
 BLOCK_TOKENS = 1 << 17
 EVERY = 128
+# Bits of the longest code, where no more symbols occur than have codes of that length.
 LONGEST_CODE = 18
-# The ids of words are remembered for longer here than elsewhere, in about 250 MB.
-MOST_PIECES = 600_000
-MOST_PARTS = 700_000
+# Distinct pieces of text whose ids a worker remembers, in about 150 MB; it starts anew beyond it.
+MOST_PIECES = 1_000_000
+# Bytes of text that are worked on at once.
+TEXT_BYTES = 1 << 22
 
 Batches = Iterator[pa.RecordBatch]
 
-_encoders: dict[str, Pieces] = {}
+# Text that the normaliser leaves as it is, but for white space, and whose words the
+# pattern finds by kind of character alone: ASCII without capitals, apostrophes and
+# special tokens, and the small letters of Latin-1.
+_PLAIN = re.compile(r"[\t\n\r!-&(-;=-@\[-{}~\xdf-\xf6\xf8-\xff]+")
+_WORDS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t\n\ra-z0-9\xdf-\xf6\xf8-\xff]+")
 
+# The model spells bytes: printable ones of Latin-1 as they are, the others from 256 on.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_SPELLED = {b: 256 + k for k, b in enumerate(_OTHERS)}
 
-def _folded(text: str) -> str:
-    """Lower case where that maps each character by itself, as the tokenizer's normaliser does.
+_encoders: dict[str, Encoder] = {}
 
-    Not where it could make a special token's text.
-    """
-    if "<|" in text:
-        return text
-    if text.isascii():
-        return text.lower()
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
-
-
-def _pieces(path: str) -> Pieces:
-    """For tokenizers that lower-case and drop white space: any piece stands alone."""
-    if path not in _encoders:
-        own = tokenizer(path)
 
-        merge = own.model.tokenize
+def _folded(texts: pa.Array) -> pa.Array:
+    """A-Z in lower case, as the tokenizer's normaliser does it; not where that could make a special token's text."""
+    return pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+
 
-        def encode(parts: list[str]) -> list[bytes]:
-            # a word of ASCII small letters is as the normaliser and the word pattern leave it
-            whole = [x for x in parts if not (x.isascii() and x.isalpha() and x.islower())]
-            found = own.encode_batch_fast(whole, add_special_tokens=False)
-            ids = {x: array("I", e.ids).tobytes() for x, e in zip(whole, found, strict=True)}
-            return [ids[x] if x in ids else array("I", [t.id for t in merge(x)]).tobytes() for x in parts]
+class Encoder:
+    """Ids of whole texts, for tokenizers that lower-case and drop white space: any piece between spaces stands alone.
 
-        _encoders[path] = Pieces(encode, most_pieces=MOST_PIECES, most_parts=MOST_PARTS)
+    Each distinct piece is encoded once; the ids of all pieces lie one after the
+    other in one array, and texts are put together from it by arrays of places.
+    """
+
+    def __init__(self, path: str, most: int = MOST_PIECES) -> None:
+        self.tokenizer, self.most = tokenizer(path), most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
+        self.ids, self.sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+
+    def _learn(self, new: list[str]) -> None:
+        merge, words = self.tokenizer.model.tokenize, self.words
+        rest = [x for x in new if not _PLAIN.fullmatch(x)]
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        own = {x: array("I", e.ids).tobytes() for x, e in zip(rest, found, strict=True)}
+        ids = []
+        for piece in new:
+            known = own.get(piece)
+            if known is None:
+                known = b""
+                for word in _WORDS.findall(piece):
+                    part = words.get(word)
+                    if part is None:
+                        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLED)
+                        part = array("I", [t.id for t in merge(spelled)]).tobytes()
+                        if len(word) < 4:  # others seldom come twice, and pieces are remembered whole
+                            words[word] = part
+                    known += part
+            ids.append(known)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.ids.append(np.frombuffer(b"".join(ids), np.uint32))
+        self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each text's; NULL is empty."""
+        cut = pc.split_pattern(_folded(texts.cast(pa.large_string()).fill_null("")), " ")
+        pieces = cut.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        if len(self.place) + len(distinct) > self.most:
+            self._forget()
+        new = [x for x in distinct if x not in self.place]
+        if new:
+            self._learn(new)
+        flat, size = np.concatenate(self.ids), np.concatenate(self.sizes)
+        self.ids, self.sizes = [flat], [size]
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[np.asarray(pieces.indices)]
+        counts = size[at]
+        ends = np.cumsum(counts)
+        first = (np.cumsum(size) - size)[at]
+        total = int(ends[-1]) if len(ends) else 0
+        found = flat[np.repeat(first - (ends - counts), counts) + np.arange(total)]
+        bounds = np.r_[0, np.cumsum(np.asarray(cut.value_lengths(), np.int64))]
+        return found, np.diff(np.r_[0, ends][bounds])
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    pieces = _pieces(path)
-    cut = [_folded(text).split(" ") for text in texts]
-    pieces.learn(set().union(*cut))
-    return [b"".join(map(pieces.table.__getitem__, x)) for x in cut]
+    """The ids of each text as unsigned 32-bit integers."""
+    ids, sizes = _encoder(path).encode(pa.array(texts, pa.large_string()))
+    ends = np.cumsum(sizes)
+    return [ids[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def _raw_blocks(path: str, end_id: int) -> Callable[[Batches], Batches]:
     """Blocks of documents in the order they come: part, number of earlier ids in the part, ids."""
 
     def run(batches: Batches) -> Batches:
-        end = np.array([end_id], "<u4").tobytes()
-        part, before, docs, sizes, waiting = None, 0, [], [], []
+        part, before, docs, sizes, waiting, count = None, 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(waiting), "<u4")
-            packed = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
+            ids = np.concatenate(waiting)
+            packed = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
             columns = [[part], [before], [docs], [sizes], [packed.tobytes()]]
             kinds = [pa.int32(), pa.int64(), pa.list_(docs_kind), pa.list_(pa.int64()), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -94,16 +146,25 @@ def _raw_blocks(path: str, end_id: int) -> Callable[[Batches], Batches]:
         docs_kind = pa.int64()
         for batch in batches:
             docs_kind = batch.schema.field("doc_id").type
-            for rows, texts in chunks(batch, "text"):
+            for rows, _, _ in slices(batch, "text", TEXT_BYTES):
                 part = rows.column("part")[0].as_py()
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), encode_texts(path, texts), strict=True):
-                    docs.append(doc)
-                    sizes.append(len(ids) // 4 + 1)
-                    waiting += [ids, end]
-                    if sum(sizes) >= BLOCK_TOKENS:
+                ids, lengths = _encoder(path).encode(rows.column("text"))
+                ends = np.cumsum(lengths)
+                # an end id after each text
+                ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                ids_of, first = rows.column("doc_id").to_pylist(), 0
+                while first < len(ids_of):
+                    begin = int(ends[first - 1]) if first else 0
+                    # up to the text that fills the block
+                    last = min(int(np.searchsorted(ends, begin + BLOCK_TOKENS - count)) + 1, len(ids_of))
+                    docs += ids_of[first:last]
+                    sizes += (lengths[first:last] + 1).tolist()
+                    waiting.append(ids[begin : int(ends[last - 1])])
+                    count += len(waiting[-1])
+                    first = last
+                    if count >= BLOCK_TOKENS:
                         yield block()
-                        before += sum(sizes)
-                        docs, sizes, waiting = [], [], []
+                        before, count, docs, sizes, waiting = before + count, 0, [], [], []
         if docs:
             yield block()
 
@@ -266,7 +327,9 @@ def write_tokens(
     counts = raw.select("ids", "sizes").mapInArrow(_id_counts, "id bigint, n bigint")
     counts = counts.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
     ids = np.array([row["id"] for row in counts], np.int64)
-    lengths = code_lengths(np.array([row["n"] for row in counts], np.int64))
+    # there are codes for all symbols, however many occur
+    longest = max(LONGEST_CODE, (len(ids) - 1).bit_length())
+    lengths = code_lengths(np.array([row["n"] for row in counts], np.int64), longest)
 
     spark: SparkSession = documents.sparkSession
     codes = [(int(i), int(n)) for i, n in zip(ids, lengths, strict=True)]
