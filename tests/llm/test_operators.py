@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -11,10 +12,11 @@ pytest.importorskip("skyfare.llm")
 
 from skyfare.llm.bpe import Bpe, decode_documents, encode_documents
 from skyfare.llm.decontaminate import find_benchmark
-from skyfare.llm.html_text import main_text
+from skyfare.llm.html_text import extract_text, main_text
 from skyfare.llm.neighbours import nearest
 from skyfare.llm.pii import boost, find_personal_data, labelled, redact, thresholds
 from skyfare.llm.quality import isotonic, score_quality
+from skyfare.llm.stored import stored
 from skyfare.llm.shingle_join import jaccard_components
 from skyfare.llm.token_counts import count_tokens
 from skyfare.llm.token_files import canonical_codes, code_lengths, read_tokens, write_tokens
@@ -181,7 +183,7 @@ def test_personal_data_in_forms_that_no_base_pattern_takes(spark):
     clean = {r.doc_id: r.text for r in redact(frame(spark, rows)).collect()}
     assert [k for k, text in enumerate(personal) if text.split()[-1] in clean[k] or not re.search(r"\[(EMAIL|IP|CARD|PHONE)\] it is$", clean[k])] == []
     assert [text for k, text in rows[len(personal) :] if clean[k] != text] == []
-    examples = labelled(spark).localCheckpoint()
+    examples = stored(labelled(spark), "labelled")
     fitted = thresholds(examples.where("held"), boost(examples.where("NOT held")))
     assert set(fitted) == {"email", "ip", "card", "phone"}
 
@@ -286,3 +288,20 @@ def test_main_text_counts_links_with_an_address_only():
     # an open link ends at the next one, and what it held goes on
     links = "<p><a href=x>One of the links that is as long as a block of the text of the page has to be<b><a href=y>two</a></b></p>"
     assert main_text(f"<div>{links}<a href=x>More<p>{TEXT}</p><a name=s></a><p>{TEXT}</p><p>{TEXT}</p></div>") == f"{TEXT}\n\n{TEXT}"
+
+
+def test_any_markup_is_read():
+    """No markup stops the reader, and the sections that no rule knows are comments."""
+    rng = random.Random(11)
+    parts = ["<![foo[ x ]]>", "<![>", "<!", "<![CDATA[x]]>", "<!DOCTYPE [", "<!--", "-->", "<?", "?>", "<p", "<a href='", '"', ">", "</", "&", "&#x", "&#99999999;", "text ", "<script>", "</script>", "<div>", "\x00", "]]>", "<!ELEMENT", "<![if x]>", "<p>"]
+    for _ in range(10_000):
+        main_text("".join(rng.choice(parts) for _ in range(rng.randint(1, 12))))
+    assert main_text(f"<article><p>{TEXT}</p><![foo[ x ]]><p>{TEXT}</p></article>").startswith(TEXT)
+
+
+def test_pages_of_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "v", f"<article><p>{TEXT}</p></article>"), (3, "w", "<![>")]
+    pages = spark.createDataFrame([(*r, "x", 7) for r in rows], "page_id bigint, url string, html string, text string, n_chars int")
+    found = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in extract_text(pages).collect())
+    assert found == sorted([("1", "u", "", 0)] * 2 + [("2", "None", "", 0), ("None", "v", TEXT, len(TEXT)), ("3", "w", "", 0)])
+    assert extract_text(pages.limit(0)).collect() == []

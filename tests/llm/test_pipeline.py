@@ -74,6 +74,7 @@ def test_stage_on_odd_rows_and_empty_tables(spark, folder, name, stage):
         assert set(ids) >= {2000, 2001, 2002, 2003, 2004, 2007, None} and ids.count(2007) == 2
     elif name == "n-gram Jaccard join":
         assert sorted(ids, key=str) == sorted({k for k, _ in ODD}, key=str)
+        assert ids.count(2007) == 1
     else:
         assert sorted(ids, key=str) == sorted((k for k, _ in ODD), key=str)
     if name != "BPE encoding":
@@ -83,3 +84,14 @@ def test_stage_on_odd_rows_and_empty_tables(spark, folder, name, stage):
     else:
         assert {r.n_tokens for r in rows if r.doc_id in (2005, 2006)} == {0}
     assert stage(spark, documents(spark, []), folder).collect() == []
+
+
+def test_unlike_texts_under_one_id_and_rows_without_ids(spark, folder):
+    """Each of A, B and C stays once, whatever ids their copies have; texts without words all stay."""
+    a, b, c, d = (plain(200 + k) for k in range(4))
+    rows = [(1, a), (1, b), (2, a + "x"), (3, b + "y"), (4, c), (None, d), (None, d + "z"), (None, c), (5, None), (5, ""), (None, " \n"), (None, " \n"), (4, c)]
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.unlike(spark, documents(spark, rows), folder).collect()]
+    wanted = [(1, a), (1, b), (4, c), (5, None), (5, ""), (None, " \n"), (None, " \n")]
+    assert sorted(map(str, [x for x in kept if x not in ((None, d), (None, d + "z"))])) == sorted(map(str, wanted))
+    # of the two without an id, which are near copies, one stays
+    assert sum(x in ((None, d), (None, d + "z")) for x in kept) == 1
