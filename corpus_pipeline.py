@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyfare.llm.bpe import encode_documents
@@ -36,12 +36,25 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id, once; rows without an id stay."""
+    """Of each group of near copies one document: that of the least id, those without an id last.
+
+    Texts are told apart by id and digest, so unlike texts under one id are
+    documents of their own. Of rows that are equal in both, the first by their
+    other columns stays. Texts without words link with nothing and all stay.
+    """
     docs = docs.select(*COLUMNS)
-    groups = jaccard_components(docs)
-    least = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(least.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).union(docs.where("doc_id IS NULL"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    no_id = F.col("doc_id").isNull()
+    key = F.struct(
+        no_id.alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+    )
+    keyed = docs.where(worded).withColumn("key", key)
+    groups = jaccard_components(keyed, doc_id="key")
+    least = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
+    kept = keyed.join(least.hint("shuffle_hash"), "key", "left_semi")
+    one = Window.partitionBy("key").orderBy("lang", "source", "n_chars")
+    kept = kept.withColumn("place", F.row_number().over(one)).where("place = 1")
+    return kept.select(*COLUMNS).union(docs.where(~worded))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
