@@ -52,7 +52,9 @@ _encoders: dict[str, Encoder] = {}
 
 def _folded(texts: pa.Array) -> pa.Array:
     """A-Z in lower case, as the tokenizer's normaliser does it; not where that could make a special token's text."""
-    return pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    marked = pc.match_substring(texts, "<|")
+    # not if_else, which mixes up the texts of slices
+    return pc.replace_with_mask(pc.ascii_lower(texts), marked, texts.filter(marked))
 
 
 class Encoder:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("skyfare.llm")
@@ -19,7 +20,7 @@ from skyfare.llm.quality import isotonic, score_quality
 from skyfare.llm.stored import stored
 from skyfare.llm.shingle_join import jaccard_components
 from skyfare.llm.token_counts import count_tokens
-from skyfare.llm.token_files import canonical_codes, code_lengths, read_tokens, write_tokens
+from skyfare.llm.token_files import _folded, canonical_codes, code_lengths, read_tokens, write_tokens
 from skyfare.llm.units import tokenizer, tokenizer_path
 from skyfare.llm.url_filter import judge_urls
 from skyfare.sources.scratch import scratch_path
@@ -305,3 +306,11 @@ def test_pages_of_odd_rows(spark):
     found = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in extract_text(pages).collect())
     assert found == sorted([("1", "u", "", 0)] * 2 + [("2", "None", "", 0), ("None", "v", TEXT, len(TEXT)), ("3", "w", "", 0)])
     assert extract_text(pages.limit(0)).collect() == []
+
+
+def test_case_is_folded_in_slices():
+    texts = ["A", "ÄB<|C", "Dé E", None, "<|X", "F" * 9] * 5
+    for first in range(6):
+        part = pa.array(texts).slice(first, 11)
+        want = [t if "<|" in t else t.replace("É", "é").encode().lower().decode() for t in (x or "" for x in texts[first : first + 11])]
+        assert _folded(part.cast(pa.large_string()).fill_null("")).to_pylist() == want
