@@ -50,11 +50,19 @@ _SPELLED = {b: 256 + k for k, b in enumerate(_OTHERS)}
 _encoders: dict[str, Encoder] = {}
 
 
-def _folded(texts: pa.Array) -> pa.Array:
-    """A-Z in lower case, as the tokenizer's normaliser does it; not where that could make a special token's text."""
-    marked = pc.match_substring(texts, "<|")
-    # not if_else, which mixes up the texts of slices
-    return pc.replace_with_mask(pc.ascii_lower(texts), marked, texts.filter(marked))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _folded(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Texts with A-Z in lower case, as the tokenizer's normaliser has them; not where that could make a special token's text."""
+    lower = _LOWER[data]
+    if b"<|" in data.tobytes():
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            if b"<|" in data[a:b].tobytes():
+                lower[a:b] = data[a:b]
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(lower)]
+    return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers)
 
 
 class Encoder:
@@ -96,9 +104,9 @@ class Encoder:
         self.ids.append(np.frombuffer(b"".join(ids), np.uint32))
         self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and the number of each text's; NULL is empty."""
-        cut = pc.split_pattern(_folded(texts.cast(pa.large_string()).fill_null("")), " ")
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of some bytes, one after the other, and the number of each text's."""
+        cut = pc.split_pattern(_folded(data, offsets), " ")
         pieces = cut.flatten().dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         if len(self.place) + len(distinct) > self.most:
@@ -126,7 +134,9 @@ def _encoder(path: str) -> Encoder:
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """The ids of each text as unsigned 32-bit integers."""
-    ids, sizes = _encoder(path).encode(pa.array(texts, pa.large_string()))
+    raw = [text.encode() for text in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    ids, sizes = _encoder(path).encode(data, np.cumsum([0, *map(len, raw)]))
     ends = np.cumsum(sizes)
     return [ids[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
@@ -148,9 +158,9 @@ def _raw_blocks(path: str, end_id: int) -> Callable[[Batches], Batches]:
         docs_kind = pa.int64()
         for batch in batches:
             docs_kind = batch.schema.field("doc_id").type
-            for rows, _, _ in slices(batch, "text", TEXT_BYTES):
+            for rows, data, offsets in slices(batch, "text", TEXT_BYTES):
                 part = rows.column("part")[0].as_py()
-                ids, lengths = _encoder(path).encode(rows.column("text"))
+                ids, lengths = _encoder(path).encode(data, offsets)
                 ends = np.cumsum(lengths)
                 # an end id after each text
                 ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
