@@ -28,6 +28,8 @@ from skyfare.llm.words import slices
 
 BLOCK_TOKENS = 1 << 17
 EVERY = 128
+# Ids that are looked up in a table of places.
+LARGEST_TABLE = 1 << 24
 # Bits of the longest code, where no more symbols occur than have codes of that length.
 LONGEST_CODE = 18
 # Distinct pieces of text whose ids a worker remembers, in about 150 MB; it starts anew beyond it.
@@ -111,17 +113,21 @@ class Encoder:
         distinct = pieces.dictionary.to_pylist()
         if len(self.place) + len(distinct) > self.most:
             self._forget()
-        new = [x for x in distinct if x not in self.place]
-        if new:
-            self._learn(new)
+        known, get = len(self.place), self.place.get
+        found = np.fromiter((get(x, -1) for x in distinct), np.int64, len(distinct))
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            self._learn([distinct[k] for k in fresh.tolist()])
+            found[fresh] = np.arange(known, known + len(fresh))
         flat, size = np.concatenate(self.ids), np.concatenate(self.sizes)
         self.ids, self.sizes = [flat], [size]
-        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[np.asarray(pieces.indices)]
+        at = found[np.asarray(pieces.indices)]
         counts = size[at]
         ends = np.cumsum(counts)
         first = (np.cumsum(size) - size)[at]
         total = int(ends[-1]) if len(ends) else 0
-        found = flat[np.repeat(first - (ends - counts), counts) + np.arange(total)]
+        # places in arrays of some millions
+        found = flat[np.repeat((first - (ends - counts)).astype(np.int32), counts) + np.arange(total, dtype=np.int32)]
         bounds = np.r_[0, np.cumsum(np.asarray(cut.value_lengths(), np.int64))]
         return found, np.diff(np.r_[0, ends][bounds])
 
@@ -251,10 +257,15 @@ class Book:
         self.ids, self.lengths = ids[order], lengths[order]
         self.codes = canonical_codes(self.lengths)
         self.longest = int(self.lengths.max(initial=1))
+        # where each id of a vocabulary stands; ids beyond any vocabulary are searched for
+        last = int(self.ids[-1]) if len(self.ids) else 0
+        self.place = np.zeros(last + 1, np.int32) if last < LARGEST_TABLE else None
+        if self.place is not None and len(self.ids):
+            self.place[self.ids] = np.arange(len(self.ids))
 
     def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits of all codes, and the bit offsets of every EVERY-th."""
-        at = np.searchsorted(self.ids, ids)
+        at = np.searchsorted(self.ids, ids) if self.place is None else self.place[ids]
         size = self.lengths[at]
         ends = np.cumsum(size)
         starts = ends - size
