@@ -46,7 +46,7 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     no_id = F.col("doc_id").isNull()
     key = F.struct(
-        no_id.alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+        no_id.alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("digest")
     )
     keyed = docs.where(worded).withColumn("key", key)
     groups = jaccard_components(keyed, doc_id="key")
