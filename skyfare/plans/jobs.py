@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterable, Mapping
-from typing import Literal
+from collections.abc import Callable, Collection, Iterable, Mapping
+from datetime import date
+from typing import Any, Literal, NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from skyfare.operators.enrich import broadcast_fits, enrich_trips
 from skyfare.operators.metrics import daily_metrics
 from skyfare.operators.quality import Measured, quality_report, require_quality
 from skyfare.operators.readings import flatten_readings, normalize_readings
+from skyfare.sources import journal
 from skyfare.sources.files import partition_values, table_bytes
 from skyfare.sources.landing import land_missing_months, land_new_days
 from skyfare.sources.settings import sized_shuffles
@@ -80,6 +82,7 @@ def build_trips(
     first_day: str | None = None,
     last_day: str | None = None,
     measured: Measured | None = None,
+    days: Collection[str] | None = None,
 ) -> str:
     """Raw months of all wanted feeds to the clean trip table, of all pickup days or of a window.
 
@@ -92,50 +95,100 @@ def build_trips(
     (see ``zones``); files without a zone are. Where files hold real timestamps
     the window reaches the scan as well, which skips row groups of other days. A
     month whose files lack a column that cleaning needs is an error: all of its
-    rows would vanish.
+    rows would vanish. ``days`` narrows the window to single days. A replacement
+    that an earlier job left undone is done first (see ``journal``).
     """
     if replace == "partitions" and (first_month or last_month):
         raise ValueError("replacing partitions takes all months of a feed")
     feeds = None if taxi_types is None else list(taxi_types)
     if replace == "table":
         frames = scan_raw_trips(spark, source, feeds, first_month, last_month)
-    else:
-        files = files_of_window(spark, source, None, None)
-        if files is None or "taxi_type" not in files.columns:
-            raise FileNotFoundError(f"no trip files under {source}")
-        there = sorted(r.taxi_type for r in files.select("taxi_type").distinct().collect())
-        feeds = there if feeds is None else feeds
-        if not set(feeds) & set(there):
-            raise FileNotFoundError(f"no trip files of {feeds} under {source}")
-        wanted_files = files_of_window(spark, source, first_day, last_day).filter(F.col("taxi_type").isin(feeds))
-        frames = scan_units(spark, source, wanted_files, by_file=True)
+        _write_trips(spark, source, frames, target, replace, _Window(first_day, last_day, days), measured)
+        return target
+    window = _Window(first_day, last_day, days)
+    feeds, frames = _frames_of_window(spark, source, feeds, window)
+
+    def again(noted: dict[str, Any]) -> None:
+        past = _Window(*noted["window"])
+        named, scans = _frames_of_window(spark, noted["source"], noted["feeds"], past)
+        _replace_trips(spark, noted["source"], named, scans, target, past)
+
+    with journal.resumed(spark, target, {"source": source, "feeds": feeds, "window": window}, again):
+        _replace_trips(spark, source, feeds, frames, target, window, measured)
+    return target
+
+
+def _frames_of_window(
+    spark: SparkSession, source: str, feeds: list[str] | None, window: _Window
+) -> tuple[list[str], list[DataFrame]]:
+    """The feeds to replace, and scans of their raw files that may hold trips of the window."""
+    files = files_of_window(spark, source, None, None)
+    if files is None or "taxi_type" not in files.columns:
+        raise FileNotFoundError(f"no trip files under {source}")
+    there = sorted(r.taxi_type for r in files.select("taxi_type").distinct().collect())
+    feeds = there if feeds is None else feeds
+    if not set(feeds) & set(there):
+        raise FileNotFoundError(f"no trip files of {feeds} under {source}")
+    wanted = files_of_window(spark, source, *window).filter(F.col("taxi_type").isin(feeds))
+    frames = scan_units(spark, source, wanted, by_file=True)
+    _require_columns(source, frames)
+    return feeds, frames
+
+
+def _require_columns(source: str, frames: list[DataFrame]) -> None:
     for frame in frames:
         absent = missing_required(frame)
         if absent:
             raise ValueError(f"raw trips under {source} lack {absent}, columns are {frame.columns}")
-    written = Observation()
+
+
+def _write_trips(
+    spark: SparkSession,
+    source: str,
+    frames: list[DataFrame],
+    target: str,
+    replace: Replace,
+    window: _Window,
+    measured: Measured | None = None,
+    written: Observation | None = None,
+) -> None:
+    _require_columns(source, frames)
 
     def observed(df: DataFrame) -> DataFrame:
-        if replace == "partitions":
+        if written is not None:
             # one entry for each day and feed of the window
             df = df.observe(written, F.collect_set(F.struct(*schemas.TRIPS_PARTITIONS)).alias("partitions"))
         return df if measured is None else measured.attach(df)
 
+    conformed = union_feeds([conform_trips(frame, F.col("taxi_type")) for frame in frames])
+    first, last = window.bounds()
+    if first is not None:
+        conformed = conformed.filter(F.col("pickup_datetime") >= F.lit(first).cast("timestamp_ntz"))
+    if last is not None:
+        after = F.date_add(F.lit(last).cast("date"), 1).cast("timestamp_ntz")
+        conformed = conformed.filter(F.col("pickup_datetime") < after)
+    if window.days is not None:
+        conformed = conformed.filter(window.holds(F.to_date("pickup_datetime")))
+    with sized_shuffles(spark, table_bytes(spark, source)):
+        write_layer(clean_conformed(conformed), target, schemas.TRIPS_PARTITIONS, replace, observed=observed)
+
+
+def _replace_trips(
+    spark: SparkSession,
+    source: str,
+    feeds: list[str],
+    frames: list[DataFrame],
+    target: str,
+    window: _Window,
+    measured: Measured | None = None,
+) -> None:
+    written = Observation()
     if frames:
-        conformed = union_feeds([conform_trips(frame, F.col("taxi_type")) for frame in frames])
-        if first_day is not None:
-            conformed = conformed.filter(F.col("pickup_datetime") >= F.lit(first_day).cast("timestamp_ntz"))
-        if last_day is not None:
-            after = F.date_add(F.lit(last_day).cast("date"), 1).cast("timestamp_ntz")
-            conformed = conformed.filter(F.col("pickup_datetime") < after)
-        with sized_shuffles(spark, table_bytes(spark, source)):
-            write_layer(clean_conformed(conformed), target, schemas.TRIPS_PARTITIONS, replace, observed=observed)
-    if replace == "partitions":
-        partitions = [tuple(map(str, r)) for r in written.get["partitions"]] if frames else []
-        kept = spark.createDataFrame(partitions, ", ".join(f"{name} string" for name in schemas.TRIPS_PARTITIONS))
-        wanted = _inside(F.col("pickup_date").try_cast("date"), first_day, last_day) & F.col("taxi_type").isin(feeds)
-        drop_emptied_partitions(spark, target, kept, wanted)
-    return target
+        _write_trips(spark, source, frames, target, "partitions", window, measured, written)
+    partitions = [tuple(map(str, r)) for r in written.get["partitions"]] if frames else []
+    kept = spark.createDataFrame(partitions, ", ".join(f"{name} string" for name in schemas.TRIPS_PARTITIONS))
+    wanted = window.holds(F.col("pickup_date").try_cast("date")) & F.col("taxi_type").isin(feeds)
+    drop_emptied_partitions(spark, target, kept, wanted)
 
 
 def build_readings(
@@ -145,15 +198,24 @@ def build_readings(
     replace: Replace = "table",
     first_day: str | None = None,
     last_day: str | None = None,
+    days: Collection[str] | None = None,
 ) -> str:
-    """Reading documents to the typed hourly table, of all days or of a window; no reading at all is an error."""
+    """Reading documents to the typed hourly table, of all days or of a window; no reading at all is an error.
+
+    ``days`` narrows the window to single days. A replacement that an earlier
+    job left undone is done first, from these documents.
+    """
     rows = flatten_readings(documents)
     if rows.isEmpty():
         raise FileNotFoundError("the reading documents hold no reading")
-    readings = _days(normalize_readings(rows), "date", first_day, last_day)
-    write_layer(readings, target, schemas.READINGS_PARTITIONS, replace)
-    if replace == "partitions":
-        _drop_emptied_days(spark, target, readings.select("date"), first_day, last_day)
+
+    def build(window: _Window) -> None:
+        readings = normalize_readings(rows).filter(window.holds(F.col("date")))
+        write_layer(readings, target, schemas.READINGS_PARTITIONS, replace)
+        if replace == "partitions":
+            _drop_emptied_days(spark, target, readings.select("date"), window)
+
+    _resumed_days(spark, target, replace, {}, _Window(first_day, last_day, days), lambda _, window: build(window))
     return target
 
 
@@ -166,6 +228,7 @@ def build_enriched(
     last_day: str | None = None,
     replace: Replace = "table",
     measured: Measured | None = None,
+    days: Collection[str] | None = None,
 ) -> str:
     """Clean trips and hourly readings to enriched trips, of all days or of a window.
 
@@ -173,17 +236,24 @@ def build_enriched(
     join leaves them where they are, so they are written as they lie. Only the
     shuffle join beyond the broadcast bound has to gather the days again. With
     ``replace="partitions"``, days of the window that have no trip any more go.
+    ``days`` narrows the window to single days. A replacement that an earlier
+    job left undone is done first.
     """
-    trip_table = _days(scan_layer(spark, trips, schemas.TRIPS), "pickup_date", first_day, last_day)
-    reading_table = _days(scan_layer(spark, readings, schemas.READINGS), "date", first_day, last_day)
-    unmoved = broadcast_fits(reading_table)
-    with sized_shuffles(spark, table_bytes(spark, trips)):
-        enriched = enrich_trips(trip_table, reading_table, broadcast_readings=unmoved)
-        write_layer(
-            enriched, target, schemas.ENRICHED_PARTITIONS, replace, not unmoved, measured and measured.attach
-        )
-    if replace == "partitions":
-        _drop_emptied_days(spark, target, partition_values(spark, trips, "pickup_date"), first_day, last_day)
+
+    def build(paths: Mapping[str, str], window: _Window) -> None:
+        trip_table = scan_layer(spark, paths["trips"], schemas.TRIPS).filter(window.holds(F.col("pickup_date")))
+        reading_table = scan_layer(spark, paths["readings"], schemas.READINGS).filter(window.holds(F.col("date")))
+        unmoved = broadcast_fits(reading_table)
+        with sized_shuffles(spark, table_bytes(spark, paths["trips"])):
+            enriched = enrich_trips(trip_table, reading_table, broadcast_readings=unmoved)
+            write_layer(
+                enriched, target, schemas.ENRICHED_PARTITIONS, replace, not unmoved, measured and measured.attach
+            )
+        if replace == "partitions":
+            _drop_emptied_days(spark, target, partition_values(spark, paths["trips"], "pickup_date"), window)
+
+    paths = {"trips": trips, "readings": readings}
+    _resumed_days(spark, target, replace, paths, _Window(first_day, last_day, days), build)
     return target
 
 
@@ -195,41 +265,75 @@ def build_daily(
     last_day: str | None = None,
     replace: Replace = "table",
     measured: Measured | None = None,
+    days: Collection[str] | None = None,
 ) -> str:
     """Enriched trips to the daily table, of all days or of a window.
 
-    With ``replace="partitions"``, days of the window that have no trip any more go.
+    With ``replace="partitions"``, days of the window that have no trip any more
+    go. ``days`` narrows the window to single days. A replacement that an
+    earlier job left undone is done first.
     """
-    trips = scan_layer(spark, enriched, schemas.ENRICHED)
-    metrics = daily_metrics(_days(trips, "pickup_date", first_day, last_day))
-    write_layer(metrics, target, schemas.DAILY_PARTITIONS, replace, observed=measured and measured.attach)
-    if replace == "partitions":
-        days = partition_values(spark, enriched, "pickup_date").withColumnRenamed("pickup_date", "date")
-        _drop_emptied_days(spark, target, days, first_day, last_day)
+
+    def build(paths: Mapping[str, str], window: _Window) -> None:
+        trips = scan_layer(spark, paths["enriched"], schemas.ENRICHED)
+        metrics = daily_metrics(trips.filter(window.holds(F.col("pickup_date"))))
+        write_layer(metrics, target, schemas.DAILY_PARTITIONS, replace, observed=measured and measured.attach)
+        if replace == "partitions":
+            stored = partition_values(spark, paths["enriched"], "pickup_date")
+            _drop_emptied_days(spark, target, stored.withColumnRenamed("pickup_date", "date"), window)
+
+    _resumed_days(spark, target, replace, {"enriched": enriched}, _Window(first_day, last_day, days), build)
     return target
 
 
-def _inside(day: Column, first: str | None, last: str | None) -> Column:
-    """Whether a day lies in an inclusive window that may be open at either end."""
-    inside = F.lit(True)
-    if first is not None:
-        inside &= day >= F.lit(first).cast("date")
-    if last is not None:
-        inside &= day <= F.lit(last).cast("date")
-    return inside
+class _Window(NamedTuple):
+    """An inclusive window of days that may be open at either end, or single days of it."""
+
+    first: str | None = None
+    last: str | None = None
+    days: Collection[str] | None = None
 
+    def bounds(self) -> tuple[str | None, str | None]:
+        """The first and last day that can be in it."""
+        if not self.days:
+            return self.first, self.last
+        return max(filter(None, (self.first, min(self.days)))), min(filter(None, (self.last, max(self.days))))
 
-def _days(df: DataFrame, column: str, first: str | None, last: str | None) -> DataFrame:
-    """The partitions of an inclusive window of days; the others are not read."""
-    return df.filter(_inside(F.col(column), first, last))
+    def holds(self, day: Column) -> Column:
+        inside = F.lit(True)
+        if self.first is not None:
+            inside &= day >= F.lit(self.first).cast("date")
+        if self.last is not None:
+            inside &= day <= F.lit(self.last).cast("date")
+        if self.days is not None:
+            inside &= day.isin([date.fromisoformat(own) for own in self.days])
+        return inside
 
 
-def _drop_emptied_days(
-    spark: SparkSession, target: str, kept: DataFrame, first: str | None, last: str | None
+def _resumed_days(
+    spark: SparkSession,
+    target: str,
+    replace: Replace,
+    paths: Mapping[str, str],
+    window: _Window,
+    build: Callable[[Mapping[str, str], _Window], None],
 ) -> None:
+    """A table whole, or a window of it after what earlier jobs left undone."""
+    if replace == "table":
+        build(paths, window)
+        return
+
+    def again(noted: dict[str, Any]) -> None:
+        build(noted["paths"], _Window(*noted["window"]))
+
+    with journal.resumed(spark, target, {"paths": paths, "window": window}, again):
+        build(paths, window)
+
+
+def _drop_emptied_days(spark: SparkSession, target: str, kept: DataFrame, window: _Window) -> None:
     """Remove the days of a window that are not in ``kept``, whose one column is the table's day."""
     day = F.col(kept.columns[0]).try_cast("date")
-    drop_emptied_partitions(spark, target, kept, _inside(day, first, last))
+    drop_emptied_partitions(spark, target, kept, window.holds(day))
 
 
 def check_layers(
@@ -281,7 +385,9 @@ def run_pipeline(
 
     By default every table is replaced. With ``replace="partitions"`` only the
     days from ``first_day`` to ``last_day`` are built anew, in all tables; trips
-    of other feeds and of other days stay, and days without rows go.
+    of other feeds and of other days stay, and days without rows go. Such a run
+    that dies between two tables is noted (see ``journal``): the next one, of
+    whatever window or feed, first takes its days through all tables.
 
     A skipped step leaves its table as an earlier run wrote it. The two landing
     steps copy from the landing folders; ``raw_readings_format="json"`` serves a
@@ -308,26 +414,50 @@ def run_pipeline(
     measured = {
         table: Measured(table) for step, table in layers.items() if replace == "table" and step not in skip_steps
     }
-    actions = {
+    landing = {
         "bronze_tlc": lambda: land_missing_months(
             spark, landing_trips, layout.raw_trips, taxi_type, start_month, end_month
         ),
         "bronze_weather": lambda: land_new_days(
             spark, landing_readings, layout.raw_readings, start_date, end_date, today
         ),
-        "silver_trips": lambda: build_trips(
-            spark, layout.raw_trips, layout.trips, [taxi_type], measured=measured.get("silver.trips"), **window
-        ),
-        "silver_weather": lambda: build_readings(spark, documents(), layout.readings, **window),
-        "silver_enriched": lambda: build_enriched(
-            spark, layout.trips, layout.readings, layout.enriched, measured=measured.get("silver.enriched_trips"), **window
-        ),
-        "gold_daily_metrics": lambda: build_daily(
-            spark, layout.enriched, layout.daily, measured=measured.get("gold.daily_metrics"), **window
-        ),
-        "quality": lambda: require_layers(spark, layout, measured),
     }
+
+    def builders(feed: str, measured: Mapping[str, Measured], **window: Any) -> dict[str, Callable[[], object]]:
+        return {
+            "silver_trips": lambda: build_trips(
+                spark, layout.raw_trips, layout.trips, [feed], measured=measured.get("silver.trips"), **window
+            ),
+            "silver_weather": lambda: build_readings(spark, documents(), layout.readings, **window),
+            "silver_enriched": lambda: build_enriched(
+                spark, layout.trips, layout.readings, layout.enriched, measured=measured.get("silver.enriched_trips"), **window
+            ),
+            "gold_daily_metrics": lambda: build_daily(
+                spark, layout.enriched, layout.daily, measured=measured.get("gold.daily_metrics"), **window
+            ),
+        }
+
+    def again(noted: dict[str, Any]) -> None:
+        past = builders(noted["feed"], {}, replace=replace, first_day=noted["first_day"], last_day=noted["last_day"])
+        for step in noted["steps"]:
+            past[step]()
+
     executed = [step for step in STEPS if step not in skip_steps]
+    tables = builders(taxi_type, measured, **window)
+    building = [step for step in executed if step in tables]
     for step in executed:
-        actions[step]()
+        if step in landing:
+            landing[step]()
+    if replace == "partitions" and building:
+        noted = {"feed": taxi_type, "first_day": first_day, "last_day": last_day, "steps": building}
+        built: list[str] = []
+        with journal.resumed(spark, layout.root, noted, again, untouched=lambda: not built):
+            for step in building:
+                tables[step]()
+                built.append(step)
+    else:
+        for step in building:
+            tables[step]()
+    if "quality" in executed:
+        require_layers(spark, layout, measured)
     return executed

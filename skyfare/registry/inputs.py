@@ -157,13 +157,20 @@ def write_monthly(feed: DataFrame, taxi_type: str, pickup: str, root: str) -> No
 
 
 def write_ride_months(
-    spark: SparkSession, sf_dir: str, root: str, without: str | None = None, months: int = 1
+    spark: SparkSession,
+    sf_dir: str,
+    root: str,
+    without: str | None = None,
+    months: int = 1,
+    only: str | None = None,
 ) -> str:
-    """Land the rides of all feeds, but for those of one day if it is named."""
+    """Land the rides of all feeds, but for those of one day if it is named, or those of one day alone."""
     for taxi_type, feed in ride_feeds(spark, sf_dir, months).items():
         pickup = FEED_NAMES[taxi_type].get("pickup_datetime", "pickup_datetime")
         if without is not None:
             feed = feed.filter(F.to_date(pickup) != F.lit(without).cast("date"))
+        if only is not None:
+            feed = feed.filter(F.to_date(pickup) == F.lit(only).cast("date"))
         write_monthly(feed, taxi_type, pickup, root)
     return root
 

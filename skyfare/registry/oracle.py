@@ -458,5 +458,7 @@ JOIN (SELECT count(*) AS row_count FROM events) ON TRUE""",
     "job_incremental_one_feed": "WITH daily AS ("
     + _daily(ENRICHED_RIDES, where="NOT (taxi_type = 'yellow' AND pickup_date = DATE '2024-01-09')")
     + ") SELECT *, total_trips AS trips FROM daily",
+    "job_touched": _daily(ENRICHED_RIDES),
+    "job_resumed": _daily(ENRICHED_RIDES, where="NOT (taxi_type = 'yellow' AND pickup_date = DATE '2024-01-09')"),
     "job_full": _daily(ENRICHED_RIDES, where="taxi_type = 'yellow'"),
 }

@@ -15,9 +15,10 @@ from skyfare.functions.parsing import READING_TIME_FORMATS, wall_clock
 from skyfare.operators import conform, enrich, inspect, metrics, quality, readings
 from skyfare.plans import jobs
 from skyfare.registry import inputs
-from skyfare.sources import files, landing, plans, tables, zones
+from skyfare.sources import files, journal, landing, plans, tables, zones
 from skyfare.sources.scratch import scratch_path
 from skyfare.streaming import readings as reading_stream
+from skyfare.streaming import touched
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -705,6 +706,51 @@ def job_incremental_one_feed(spark, sf_dir):
     return _daily(tables.scan_layer(spark, layout.daily, schemas.DAILY)).withColumn("date", F.col("date").cast("string")).join(by_day, "date")
 
 
+@query
+def job_touched(spark, sf_dir):
+    """Two landings, the second with one day's trips and the later documents; only the days they touch are rebuilt."""
+    layout = jobs.Layout(scratch_path(spark, "job-touched"))
+    checkpoint = scratch_path(spark, "touched")
+    documents = inputs.reading_documents(spark, sf_dir)
+    inputs.write_ride_months(spark, sf_dir, layout.raw_trips, without="2024-01-09")
+    inputs.write_documents(documents.filter("date < DATE '2024-01-15'"), layout.raw_readings)
+    touched.rebuild_touched(spark, layout, checkpoint, "json")
+    inputs.write_ride_months(spark, sf_dir, layout.raw_trips, only="2024-01-09")
+    inputs.write_documents(documents.filter("date >= DATE '2024-01-15'"), layout.raw_readings)
+    touched.rebuild_touched(spark, layout, checkpoint, "json")
+    return _daily(tables.scan_layer(spark, layout.daily, schemas.DAILY))
+
+
+@query
+def job_resumed(spark, sf_dir):
+    """A window's run that was noted and died before its first write, then a run of another window."""
+    layout = _build_enriched(spark, sf_dir, "job-resumed")
+    jobs.build_daily(spark, layout.enriched, layout.daily)
+    changed = jobs.Layout(layout.root)
+    changed.raw_trips = inputs.write_ride_months(spark, sf_dir, scratch_path(spark, "changed"), without="2024-01-09")
+    window = {"replace": "partitions", "skip_steps": ["bronze_tlc", "bronze_weather", "quality"]}
+    steps = ["silver_trips", "silver_enriched", "gold_daily_metrics"]
+    dead = {"feed": "yellow", "first_day": "2024-01-08", "last_day": "2024-01-10", "steps": steps}
+    journal.begin(spark, layout.root, dead)
+    jobs.run_pipeline(
+        spark,
+        changed,
+        landing_trips="",
+        landing_readings="",
+        taxi_type="green",
+        start_month="2024-01",
+        end_month="2024-01",
+        start_date="2024-01-01",
+        end_date="2024-01-31",
+        today="2024-02-20",
+        raw_readings_format="json",
+        first_day="2024-01-20",
+        last_day="2024-01-20",
+        **window,
+    )
+    return _daily(tables.scan_layer(spark, layout.daily, schemas.DAILY))
+
+
 @query
 def job_full(spark, sf_dir):
     """All seven steps for the yellow feed, from landing folders to the quality gate."""

@@ -8,9 +8,11 @@ one that was replaced since, or never measured, has no zone and is always read.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfare.functions.parsing import tolerant_cast
@@ -29,13 +31,17 @@ def zone_map(spark: SparkSession, root: str) -> DataFrame | None:
     return scan_if_exists(spark, f"{root.rstrip('/')}/{ZONES}")
 
 
-def _zone_of(frame: DataFrame) -> DataFrame:
+def pickup_time(frame: DataFrame) -> Column:
+    """The pickup time of raw trips, under whatever name and type; NULLs without that column."""
     field = next(f for f in TRIP_FIELDS if f.name == "pickup_datetime")
     name = pick_name(frame.columns, field.raw_names)
     if name is None:
-        pickup = F.lit(None).cast(field.type)
-    else:
-        pickup = tolerant_cast(F.col(name), frame.schema[name].dataType, field.type)
+        return F.lit(None).cast(field.type)
+    return tolerant_cast(F.col(name), frame.schema[name].dataType, field.type)
+
+
+def _zone_of(frame: DataFrame) -> DataFrame:
+    pickup = pickup_time(frame)
     # the name as a listing has it, without the escapes of an address
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return frame.groupBy(path.alias("path")).agg(
@@ -69,8 +75,17 @@ def measure_zones(spark: SparkSession, root: str) -> int:
     return number
 
 
-def files_of_window(spark: SparkSession, root: str, first_day: str | None, last_day: str | None) -> DataFrame | None:
-    """``directory, path`` of the raw files that may hold trips of an inclusive window of days; None without files."""
+def files_of_window(
+    spark: SparkSession,
+    root: str,
+    first_day: str | None,
+    last_day: str | None,
+    days: Collection[str] | None = None,
+) -> DataFrame | None:
+    """``directory, path`` of the raw files that may hold trips of an inclusive window; None without files.
+
+    ``days`` narrows the window to single days.
+    """
     files = list_files(spark, root)
     if files is None:
         return None
@@ -83,4 +98,8 @@ def files_of_window(spark: SparkSession, root: str, first_day: str | None, last_
         outside |= F.col("last_pickup") < F.lit(first_day).cast("timestamp_ntz")
     if last_day is not None:
         outside |= F.col("first_pickup") >= F.date_add(F.lit(last_day).cast("date"), 1).cast("timestamp_ntz")
+    if days is not None:
+        single = F.lit([date.fromisoformat(day) for day in days]) if days else F.array().cast("array<date>")
+        met = F.exists(single, lambda day: day.between(F.to_date("first_pickup"), F.to_date("last_pickup")))
+        outside |= ~met
     return files.join(known.filter(outside).select(*FILE), list(FILE), "left_anti")
