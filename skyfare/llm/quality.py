@@ -83,6 +83,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct, top = _distinct(words.hashes, words.bounds)
     same = np.zeros(len(words.hashes), bool)
     same[1:] = words.hashes[1:] == words.hashes[:-1]
+    same[words.bounds[:-1][n > 0]] = False  # the word before is another text's
     grams, gram_bounds = ngrams(words, 5)
     distinct_grams, _ = _distinct(grams, gram_bounds)
     lines = find_words(data, offsets, NOT_NEWLINE)
