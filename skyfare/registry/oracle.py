@@ -448,6 +448,18 @@ SELECT DISTINCT 'pickup_date=' || pickup_date AS partition FROM clean ORDER BY 1
 FROM (VALUES (1, 'event_id', 'bigint'), (2, 'ts', 'timestamp_ntz'), (3, 'user_id', 'bigint'),
              (4, 'event_type', 'string'), (5, 'value', 'double'), (6, 'props', 'string')) v(position, "column", type)
 JOIN (SELECT count(*) AS row_count FROM events) ON TRUE""",
+    "footer_profile": f"WITH {CLEAN_RIDES} "
+    + " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", count(*) AS rows, count({name}) AS filled,
+       round(CAST(min({name}) AS DOUBLE), 6) AS lowest_number, round(CAST(max({name}) AS DOUBLE), 6) AS highest_number,
+       CAST(NULL AS VARCHAR) AS lowest_text, CAST(NULL AS VARCHAR) AS highest_text FROM clean"""
+        for name in ("passenger_count", "trip_distance", "fare_amount", "pu_location_id")
+    )
+    + "".join(
+        f""" UNION ALL SELECT '{name}', count(*), count({value}), NULL, NULL,
+       CAST(min({value}) AS VARCHAR), CAST(max({value}) AS VARCHAR) FROM clean"""
+        for name, value in (("pickup_date", "CAST(pickup_datetime AS DATE)"), ("taxi_type", "taxi_type"))
+    ),
     "table_sample": """SELECT event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, value, props,
        -value AS rank_value FROM events ORDER BY value DESC, event_id LIMIT 5""",
     "job_trips": f"WITH {CLEAN_RIDES} SELECT {TRIP_COLUMNS}, {CALENDAR} FROM clean",

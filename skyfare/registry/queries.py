@@ -13,6 +13,7 @@ from skyfare.functions.arrays import first_filled, item_or_null
 from skyfare.functions.measures import price_per_distance
 from skyfare.functions.parsing import READING_TIME_FORMATS, wall_clock
 from skyfare.operators import conform, enrich, inspect, metrics, quality, readings
+from skyfare.operators import footer_profile as footers
 from skyfare.plans import jobs
 from skyfare.registry import inputs
 from skyfare.sources import files, journal, landing, plans, tables, zones
@@ -20,6 +21,8 @@ from skyfare.sources.scratch import scratch_path
 from skyfare.streaming import readings as reading_stream
 from skyfare.streaming import touched
 
+PROFILED = ("passenger_count", "trip_distance", "fare_amount", "pu_location_id", "pickup_date", "taxi_type")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -601,6 +604,22 @@ def table_profile(spark, sf_dir):
     return inspect.table_profile(inputs.table(spark, sf_dir, "events"))
 
 
+@query
+def footer_profile(spark, sf_dir):
+    """Rows, values and ranges of the written trip table's columns, from its footers."""
+    path = scratch_path(spark, "trips")
+    tables.write_layer(_clean_rides(spark, sf_dir), path, schemas.TRIPS_PARTITIONS)
+    profile = footers.footer_profile(spark, path).filter(F.col("column").isin(*PROFILED))
+    number = {end: F.round(F.col(end).try_cast("double"), 6) for end in ("lowest", "highest")}
+    return profile.select(
+        "column",
+        "rows",
+        "filled",
+        *[value.alias(f"{end}_number") for end, value in number.items()],
+        *[F.when(value.isNull(), F.col(end)).alias(f"{end}_text") for end, value in number.items()],
+    )
+
+
 @query
 def table_sample(spark, sf_dir):
     """The five most valuable events."""
