@@ -226,18 +226,46 @@ STANDARD_RULES: dict[str, list[Rule]] = {
 }
 
 
-def check_table(df: DataFrame, table: str, rules: Sequence[Rule], first: int = 1) -> DataFrame:
+def check_table(
+    df: DataFrame, table: str, rules: Sequence[Rule], first: int = 1, apart: Sequence[Column] = ()
+) -> DataFrame:
     """The report of one table in one pass, plus one for each uniqueness rule.
 
     A uniqueness rule shuffles every key. On its own it reads and moves the key
     columns only; together with the others, each key would carry their partial
-    results along.
+    results along. Nothing is moved where ``df`` scans a table in buckets of
+    columns that the key holds (``sources.buckets``).
+
+    ``apart`` are conditions of which each row meets exactly one, such that no
+    key of the rules has rows under two of them: a month each of a table by day
+    whose keys hold the time. Keys are then counted under each by itself, which
+    gives a table in buckets a task for each bucket and condition.
     """
     numbered = list(enumerate(rules, start=first))
-    alone = [[(n, rule)] for n, rule in numbered if isinstance(rule, UniqueRatio)]
+    alone = [(n, rule) for n, rule in numbered if isinstance(rule, UniqueRatio)]
     shared = [(n, rule) for n, rule in numbered if not isinstance(rule, UniqueRatio)]
-    passes = [shared, *alone] if shared else alone
-    return reduce(DataFrame.unionByName, [_one_pass(df, table, together) for together in passes])
+    reports = [_one_pass(df, table, shared)] if shared else []
+    reports += [_unique_pass(df, table, one, apart) for one in alone]
+    return reduce(DataFrame.unionByName, reports)
+
+
+def _unique_pass(df: DataFrame, table: str, numbered: tuple[int, UniqueRatio], apart: Sequence[Column]) -> DataFrame:
+    """One uniqueness rule by groups of the key's own columns, which may be in place already."""
+    number, rule = numbered
+    if any(name not in df.columns for name in rule.columns):
+        return _one_pass(df, table, [numbered])
+    parts = [df.where(condition) for condition in apart] or [df]
+    # each part down to one row before they come together
+    counted = [
+        part.groupBy(*rule.columns)
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("keys"))
+        for part in parts
+    ]
+    total = F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sum("keys").alias("keys")
+    value = {"rows": F.col("rows"), "keys": F.col("keys")}
+    row = _row(number, table, rule, rule.observed(value), rule.failure(table, value))
+    return reduce(DataFrame.unionAll, counted).agg(*total).select(F.inline(F.array(row)))
 
 
 def _one_pass(df: DataFrame, table: str, numbered: Sequence[tuple[int, Rule]]) -> DataFrame:
@@ -293,7 +321,7 @@ class Measured:
         found = self.observation.get
         values = spark.createDataFrame([tuple(found[f.name] for f in self.schema)], self.schema)
         passes = [values.select(F.inline(F.array(*self.report_rows)))] if self.report_rows else []
-        return reduce(DataFrame.unionByName, [*passes, *[_one_pass(df, self.table, [one]) for one in self.left]])
+        return reduce(DataFrame.unionByName, [*passes, *[_unique_pass(df, self.table, one, ()) for one in self.left]])
 
 
 def _row(number: int, table: str, rule: Rule, observed: Column, failure: Column) -> Column:

@@ -378,6 +378,13 @@ GROUP BY pickup_date""",
               "'lineitem: missing uniqueness key columns [''l_batch'']'"),
         _unique(3, "lineitem", "lineitem", ["l_suppkey", "l_linenumber"], 0.995),
     ),
+    "uniqueness_in_buckets": f"""WITH {CLEAN_RIDES}
+SELECT * REPLACE (round(observed + 1.37e-7, 4) AS observed) FROM (
+{_unique(1, "trips", "clean", TRIP_KEY, 0.995)}
+UNION ALL
+{_unique(2, "trips", "clean", ["vendor_id", "pickup_datetime"], 0.995)}
+UNION ALL
+{_unique(3, "trips", "clean", ["vendor_id", "pickup_datetime", "trip_distance"], 0.5)})""",
     "quality_report": _QUALITY_REPORT,
     "quality_on_write": _QUALITY_REPORT,
     "quality_missing_table": _report(

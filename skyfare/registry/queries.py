@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from skyfare.operators import conform, enrich, inspect, metrics, quality, readin
 from skyfare.operators import footer_profile as footers
 from skyfare.plans import jobs
 from skyfare.registry import inputs
-from skyfare.sources import files, journal, landing, plans, tables, zones
+from skyfare.sources import buckets, files, journal, landing, plans, tables, zones
 from skyfare.sources.scratch import scratch_path
 from skyfare.streaming import readings as reading_stream
 from skyfare.streaming import touched
@@ -352,6 +353,21 @@ def _clean_rides(spark, sf_dir):
     return conform.clean_conformed(_conformed_rides(spark, sf_dir))
 
 
+@query
+def uniqueness_in_buckets(spark, sf_dir):
+    """Distinct trip keys of a table in buckets, counted where they lie."""
+    name, path = f"trips_{uuid.uuid4().hex}", scratch_path(spark, "bucketed-trips")
+    by = ("vendor_id", "pickup_datetime")
+    trips = buckets.write_buckets(_clean_rides(spark, sf_dir), name, path, schemas.TRIPS_PARTITIONS, by, 8)
+    rules = [
+        quality.UniqueRatio(columns=schemas.TRIP_KEY, threshold=0.995),
+        quality.UniqueRatio(columns=by, threshold=0.995),
+        quality.UniqueRatio(columns=(*by, "trip_distance"), threshold=0.5),
+    ]
+    months = buckets.month_slices(files.list_partitions(spark, path), "pickup_date")
+    return _rounded(quality.check_table(trips, "trips", rules, apart=months), "observed")
+
+
 @query
 def quality_report(spark, sf_dir):
     """The standard rules on the stored tables of all rides."""

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from skyfare.operators.quality import (
     NonEmpty,
@@ -14,6 +16,8 @@ from skyfare.operators.quality import (
     require_quality,
     value_range,
 )
+from skyfare.sources import buckets
+from skyfare.sources.files import list_partitions
 
 
 def messages(spark, data, schema, rules):
@@ -106,3 +110,42 @@ def test_names_may_hold_any_character(spark):
     df = spark.range(1).selectExpr("-1 as `p%d`")
     (row,) = check_table(df, "t%s", value_range("p%d", low=0.0)).collect()
     assert row.message == "t%s: column 'p%d' min -1 < 0.0"
+
+
+def _bucketed(spark, tmp_path, rows):
+    df = spark.createDataFrame(rows, "vendor int, at string, amount double, feed string")
+    df = df.withColumn("at", F.col("at").cast("timestamp_ntz")).withColumn("day", F.to_date("at"))
+    name = f"t_{uuid.uuid4().hex}"
+    return df, name, buckets.write_buckets(df, name, f"{tmp_path}/{name}", ["day", "feed"], ["vendor", "at"], 4)
+
+
+def test_keys_in_buckets_are_counted_without_an_exchange(spark, tmp_path):
+    rows = [(v, f"2024-0{m}-1{d} 08:00:0{v}", a, f) for v in range(5) for m in (1, 2) for d in (1, 2) for a in (0.0, -0.0, 1.5)
+            for f in ("x", "y")]
+    rows += [(None, None, None, "x"), (None, None, float("nan"), "y"), (1, None, float("nan"), "x"), (1, None, float("nan"), "y")]
+    df, name, table = _bucketed(spark, tmp_path, rows)
+    rules = [UniqueRatio(columns=("vendor", "at", "amount"), threshold=0.9), UniqueRatio(columns=("at", "vendor"), threshold=0.1)]
+    months = buckets.month_slices(list_partitions(spark, f"{tmp_path}/{name}"), "day")
+    assert len(months) == 3
+    expected = sorted(map(tuple, check_table(df, "t", rules).collect()))
+    assert expected[0][3] == (2 * 20 + 3) / len(rows)
+    for apart in (months, ()):
+        report = check_table(table, "t", rules, apart=apart)
+        assert sorted(map(tuple, report.collect())) == expected
+        plan = report._jdf.queryExecution().sparkPlan().toString()
+        assert "Bucketed: true" in plan
+        physical = report._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in physical
+    # a month's scan opens its own partitions only
+    one = table.where(months[0])
+    assert {f.split("day=")[1][:7] for f in one.inputFiles()} == {"2024-01"}
+
+
+def test_buckets_of_replaced_partitions(spark, tmp_path):
+    rows = [(1, "2024-01-01 01:00:00", 1.0, "x"), (2, "2024-01-02 01:00:00", 1.0, "x")]
+    df, name, _ = _bucketed(spark, tmp_path, rows)
+    new = df.where("vendor = 2").withColumn("amount", F.lit(7.0))
+    table = buckets.write_buckets(new, name, f"{tmp_path}/{name}", ["day", "feed"], ["vendor", "at"], 4, "partitions")
+    assert {(r.vendor, r.amount) for r in table.collect()} == {(1, 1.0), (2, 7.0)}
+    with pytest.raises(ValueError, match="amount"):
+        buckets.write_buckets(df, "never", f"{tmp_path}/never", ["day"], ["amount"], 4)
