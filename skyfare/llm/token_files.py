@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ LARGEST_TABLE = 1 << 24
 LONGEST_CODE = 18
 # Distinct pieces of text whose ids a worker remembers, in about 150 MB; it starts anew beyond it.
 MOST_PIECES = 1_000_000
+# Distinct words of plain pieces, as many in about as much memory. They outlast the pieces.
+MOST_WORDS = 800_000
+# Characters of the longest word that is remembered.
+LONGEST_KEPT = 64
 # Bytes of text that are worked on at once.
 TEXT_BYTES = 1 << 22
 
@@ -43,7 +48,7 @@ Batches = Iterator[pa.RecordBatch]
 # pattern finds by kind of character alone: ASCII without capitals, apostrophes and
 # special tokens, and the small letters of Latin-1.
 _PLAIN = re.compile(r"[\t\n\r!-&(-;=-@\[-{}~\xdf-\xf6\xf8-\xff]+")
-_WORDS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t\n\ra-z0-9\xdf-\xf6\xf8-\xff]+")
+_WORDS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|\0|[^\0\t\n\ra-z0-9\xdf-\xf6\xf8-\xff]+")
 
 # The model spells bytes: printable ones of Latin-1 as they are, the others from 256 on.
 _OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
@@ -70,55 +75,64 @@ def _folded(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 class Encoder:
     """Ids of whole texts, for tokenizers that lower-case and drop white space: any piece between spaces stands alone.
 
-    Each distinct piece is encoded once; the ids of all pieces lie one after the
-    other in one array, and texts are put together from it by arrays of places.
+    Each distinct piece is looked up once, and each distinct word of new plain
+    pieces merged once; the ids of all pieces lie one after the other in one
+    array, and texts are put together from it by arrays of places.
     """
 
     def __init__(self, path: str, most: int = MOST_PIECES) -> None:
         self.tokenizer, self.most = tokenizer(path), most
+        self.words: dict[str, bytes] = {"\0": b""}  # pieces are laid end to end with this in between
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.words: dict[str, bytes] = {}
         self.ids, self.sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
 
-    def _learn(self, new: list[str]) -> None:
-        merge, words = self.tokenizer.model.tokenize, self.words
-        rest = [x for x in new if not _PLAIN.fullmatch(x)]
-        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        own = {x: array("I", e.ids).tobytes() for x, e in zip(rest, found, strict=True)}
-        ids = []
-        for piece in new:
-            known = own.get(piece)
-            if known is None:
-                known = b""
-                for word in _WORDS.findall(piece):
-                    part = words.get(word)
-                    if part is None:
-                        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLED)
-                        part = array("I", [t.id for t in merge(spelled)]).tobytes()
-                        if len(word) < 4:  # others seldom come twice, and pieces are remembered whole
-                            words[word] = part
-                    known += part
-            ids.append(known)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.ids.append(np.frombuffer(b"".join(ids), np.uint32))
-        self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+    def _merged(self, pieces: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of plain pieces, one after the other, and the number of each piece's."""
+        words, merge = self.words, self.tokenizer.model.tokenize
+        cut = _WORDS.findall("\0".join([*pieces, ""]))
+        unknown = set(cut).difference(words)
+        for word in unknown:
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_SPELLED)
+            words[word] = array("I", [t.id for t in merge(spelled)]).tobytes()
+        ids = list(map(words.__getitem__, cut))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ends = np.fromiter(map("\0".__eq__, cut), bool, len(cut))
+        for word in unknown:
+            if len(word) > LONGEST_KEPT:
+                del words[word]
+        if len(words) > MOST_WORDS:
+            self.words = {"\0": b""}
+        return b"".join(ids), np.diff(np.r_[0, np.cumsum(sizes)[ends]])
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Remember the ids of new pieces; returns where they are."""
+        is_plain = np.fromiter((_PLAIN.fullmatch(x) is not None for x in new), bool, len(new))
+        order = np.r_[np.flatnonzero(is_plain), np.flatnonzero(~is_plain)]
+        ids, sizes = self._merged([new[k] for k in order[: is_plain.sum()].tolist()])
+        rest = self.tokenizer.encode_batch_fast([new[k] for k in order[is_plain.sum() :].tolist()], add_special_tokens=False)
+        own = [array("I", e.ids).tobytes() for e in rest]
+        self.ids.append(np.frombuffer(b"".join([ids, *own]), np.uint32))
+        self.sizes.append(np.r_[sizes, np.fromiter(map(len, own), np.int64, len(own)) // 4])
+        at = np.empty(len(new), np.int64)
+        at[order] = np.arange(len(self.place), len(self.place) + len(new))
+        self.place.update(zip(new, at.tolist(), strict=True))
+        return at
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of some bytes, one after the other, and the number of each text's."""
         cut = pc.split_pattern(_folded(data, offsets), " ")
         pieces = cut.flatten().dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
+        # far faster than to_pylist, which makes a scalar of each
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.place) + len(distinct) > self.most:
             self._forget()
-        known, get = len(self.place), self.place.get
-        found = np.fromiter((get(x, -1) for x in distinct), np.int64, len(distinct))
+        found = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
         fresh = np.flatnonzero(found < 0)
         if len(fresh):
-            self._learn([distinct[k] for k in fresh.tolist()])
-            found[fresh] = np.arange(known, known + len(fresh))
+            found[fresh] = self._learn([distinct[k] for k in fresh.tolist()])
         flat, size = np.concatenate(self.ids), np.concatenate(self.sizes)
         self.ids, self.sizes = [flat], [size]
         at = found[np.asarray(pieces.indices)]
