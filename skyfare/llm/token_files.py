@@ -40,7 +40,7 @@ MOST_WORDS = 800_000
 # Characters of the longest word that is remembered.
 LONGEST_KEPT = 64
 # Bytes of text that are worked on at once.
-TEXT_BYTES = 1 << 22
+TEXT_BYTES = 1 << 23
 
 Batches = Iterator[pa.RecordBatch]
 
