@@ -43,6 +43,9 @@ def byte_letters() -> str:
     others = iter(range(0x100, 0x200))
     return "".join(chr(b if b in printable else next(others)) for b in range(256))
 
+# Pieces, and parts of them, that a worker remembers: some 350 MB in all. Merging anew costs more than looking up.
+MOST_KNOWN = 700_000
+
 
 class Bpe:
     """Encoder and decoder of one byte-level vocabulary file."""
@@ -85,7 +88,7 @@ class Bpe:
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.offsets = np.r_[0, np.cumsum([len(x) for x in tokens])]
         names = tuple(self.special)
-        self.rest = Pieces(self._parts, " ", lambda piece: joinable(piece, names))
+        self.rest = Pieces(self._parts, " ", lambda piece: joinable(piece, names), MOST_KNOWN, MOST_KNOWN)
         self.heads = Pieces(self._parts, "", lambda piece: not piece or joinable(piece, names))
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(names, key=len, reverse=True))) + ")") if names else None
 
